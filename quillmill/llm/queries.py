@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, materialise, packing
+from . import bpe, labelled, materialise, packing, quality, rules, toxicity
 from .runtime import shipped, table
 
 
@@ -25,6 +26,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.mapInArrow(shipped("quillmill.llm.bpe:digest_batches", path=tokenizer_path("byte_bpe_50k.tiktoken")), bpe.DIGEST)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -33,8 +46,20 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))[0]
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", *rules.MEASURES, "base_failed", "kept", "fail_bits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op6_packing": op6_packing, "op8_training_order": op8_training_order}
+    return {
+        "op2_byte_bpe": op2_byte_bpe,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
+        "op6_packing": op6_packing,
+        "op8_training_order": op8_training_order,
+        "op10_rules": op10_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
