@@ -124,3 +124,15 @@ def score(documents: DataFrame, model: Discriminant) -> DataFrame:
     """doc_id and score of every document."""
     rows = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     return rows.mapInArrow(runtime.shipped("quillmill.llm.quality:score_batches", model=model), SCORED)
+
+
+def keep_batches(batches, model: Discriminant, least: float):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        groups = [model.score(statistics(texts[a:b])) >= least for a, b in bpe.text_groups(texts)]
+        yield batch.filter(pa.array(np.concatenate(groups))) if groups else batch
+
+
+def keep(documents: DataFrame, model: Discriminant, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose score is at least `least`."""
+    return documents.mapInArrow(runtime.shipped("quillmill.llm.quality:keep_batches", model=model, least=least), documents.schema)

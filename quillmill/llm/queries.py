@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, materialise, packing, quality, rules, toxicity
+from . import bpe, labelled, materialise, neardup, packing, quality, rules, toxicity
 from .runtime import shipped, table
 
 
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))[0]
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_training_order": op8_training_order,
         "op10_rules": op10_rules,
     }

@@ -105,10 +105,7 @@ def ledger_batches(batches, most: int = bpe.MAX_CHARS):
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in bpe.text_groups(texts, most):
-            m = measure(texts[a:b])
-            bits = np.zeros(b - a, dtype=np.int64)
-            for i, (_, fails) in enumerate(RULES):
-                bits |= fails(m).astype(np.int64) << i
+            m, bits = fail_bits(texts[a:b])
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), *(pa.array(m[k]) for k in names[1:-1]), pa.array(bits)], names=names)
 
 
@@ -118,6 +115,28 @@ def ledger(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(runtime.shipped("quillmill.llm.rules:ledger_batches"), LEDGER)
 
 
+def fail_bits(texts: list[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Measurements, and a bit for each rule that fails."""
+    m = measure(texts)
+    bits = np.zeros(len(texts), dtype=np.int64)
+    for i, (_, fails) in enumerate(RULES):
+        bits |= fails(m).astype(np.int64) << i
+    return m, bits
+
+
+def keep_batches(batches, mask: int):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        groups = [(fail_bits(texts[a:b])[1] & mask) == 0 for a, b in bpe.text_groups(texts)]
+        yield batch.filter(pa.array(np.concatenate(groups))) if groups else batch
+
+
+def keep(documents: DataFrame, policy: str = "web-1") -> DataFrame:
+    """The documents, with all their columns, that a policy keeps."""
+    mask = POLICIES[policy] | BASE
+    return documents.mapInArrow(runtime.shipped("quillmill.llm.rules:keep_batches", mask=mask), documents.schema)
+
+
 def apply_policy(entries: DataFrame, policy: str = "web-1") -> DataFrame:
     """The ledger with base_failed and kept under a policy."""
     mask = POLICIES[policy] | BASE
