@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, materialise, neardup, packing, quality, rules, toxicity
+from . import ann, bpe, html_text, labelled, materialise, neardup, packing, quality, rules, sharding, toxicity
 from .runtime import shipped, table
 
 
@@ -21,11 +21,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "text")
     return documents.mapInArrow(shipped("quillmill.llm.bpe:digest_batches", path=tokenizer_path("byte_bpe_50k.tiktoken")), bpe.DIGEST)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -50,6 +58,10 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))[0]
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", *rules.MEASURES, "base_failed", "kept", "fail_bits")
@@ -57,12 +69,15 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_training_order": op8_training_order,
+        "op9_nearest_vectors": op9_nearest_vectors,
         "op10_rules": op10_rules,
     }
 

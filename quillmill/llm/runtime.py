@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -35,8 +33,8 @@ def shipped(target: str, **params) -> Callable:
     return call
 
 
-def shipped_group(target: str, **params) -> Callable:
-    """As ``shipped``, for ``applyInPandas``/``applyInArrow`` over one group (key, table)."""
+def shipped_table(target: str, **params) -> Callable:
+    """As ``shipped``, for ``applyInArrow`` over one group (key, table)."""
     module, name = target.split(":")
     root = _ROOT
 
@@ -80,13 +78,3 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Exactly the named columns, whatever else the table has."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def log(*what) -> None:
-    if os.environ.get("QUILLMILL_DEBUG"):
-        print(*what, file=sys.stderr, flush=True)
