@@ -31,11 +31,11 @@ from . import runtime
 PROJECTIONS = 64
 #: Windows are REACH times the distance whose vectors they must hold; widths grow by GROWTH.
 REACH = 0.9
-GROWTH = 1.12
+GROWTH = 1.3
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 256
 #: Standard deviations below the expected collisions at which a vector is still verified.
-SAFETY = 1.9
+SAFETY = 1.28
 SCHEMA = "query_id long, vec_id long, score double, verified long"
 
 
@@ -51,8 +51,11 @@ class Index:
         lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(self.norm**2 - squares, 0))]) / self.norm
         self.directions = np.random.default_rng(seed).standard_normal((d + 1, PROJECTIONS))
         projected = np.ascontiguousarray((lifted @ self.directions).T)
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order.astype(np.int64), 1)
+        self.order = np.argsort(projected, axis=1, kind="stable")
+        # One ascending array: direction j's projections, moved by j times more than they can span.
+        self.span = 4 * float(np.abs(self.directions).sum(0).max())
+        self.shift = np.arange(PROJECTIONS) * self.span
+        self.sorted = (np.take_along_axis(projected, self.order, 1) + self.shift[:, None]).ravel()
         inside = math.erf(REACH / math.sqrt(2))
         self.enough = math.floor(PROJECTIONS * inside - SAFETY * math.sqrt(PROJECTIONS * inside * (1 - inside)))
 
@@ -71,20 +74,18 @@ class Index:
         if has_own:
             known[own] = True
         rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        flat, base = self.order.ravel(), np.arange(PROJECTIONS) * n
+        base = np.arange(PROJECTIONS) * n
+        low = high = np.searchsorted(self.sorted, centre + self.shift) - base
         length = math.sqrt(float((query**2).sum()))
         width = 0.1 * REACH
         while True:
-            new_low = np.array([np.searchsorted(s, c - width, "left") for s, c in zip(self.sorted, centre, strict=True)])
-            new_high = np.array([np.searchsorted(s, c + width, "right") for s, c in zip(self.sorted, centre, strict=True)])
-            begin = np.concatenate([base + new_low, base + high])
-            size = np.concatenate([low - new_low, new_high - high])
-            total = int(size.sum())
-            if total:
-                ends = np.cumsum(size)
-                places = np.repeat(begin - (ends - size), size) + np.arange(total)
-                count += np.bincount(flat[places], minlength=n).astype(np.int16)
+            new_low = np.searchsorted(self.sorted, centre + self.shift - width, "left") - base
+            new_high = np.searchsorted(self.sorted, centre + self.shift + width, "right") - base
+            new_low, new_high = np.maximum(new_low, 0), np.minimum(new_high, n)
+            rings = [o[a:b] for o, a, b in zip(self.order, new_low.tolist(), low.tolist(), strict=True) if b > a]
+            rings += [o[a:b] for o, a, b in zip(self.order, high.tolist(), new_high.tolist(), strict=True) if b > a]
+            if rings:
+                count += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
             low, high = new_low, new_high
             whole = bool((low == 0).all() and (high == n).all())
             fresh = np.flatnonzero((count >= self.enough) & ~known) if not whole else np.flatnonzero(~known)
