@@ -35,7 +35,7 @@ GROWTH = 1.3
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 256
 #: Standard deviations below the expected collisions at which a vector is still verified.
-SAFETY = 1.28
+SAFETY = 1.0
 SCHEMA = "query_id long, vec_id long, score double, verified long"
 
 
