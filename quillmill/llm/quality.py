@@ -116,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", modulus
     chosen = labelled.sample(documents, labels, label, modulus, held)
     measured = chosen.mapInArrow(runtime.shipped("quillmill.llm.quality:statistics_batches"), "doc_id long, label int, x array<double>")
     rows = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id", "label").toArrow()  # bounded by the sample
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, -1)
+    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, -1 if rows.num_rows else 0)
     return Discriminant(x, rows.column("label").to_numpy())
 
 
