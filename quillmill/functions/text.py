@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +17,7 @@ from pyspark.sql.types import StringType
 WS = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_IN_LINE = WS.replace(r"\t-\r", r"\t\x0b-\r")
 URL = r"""(?i)(https?://|www\.)[^\s)\]}"'<>]+"""
+WWW = ["".join(x) + "." for x in product("wW", repeat=3)]
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-zA-Z]{2,}"
 
 
@@ -49,25 +52,42 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
 
 
+def once(df, value: Column, into: str):
+    """df with a column whose costly value is made once a row, however often it is used: optimizer rules don't pass an explode."""
+    return df.withColumn(into, F.explode(F.array(value)))
+
+
+def where_it_holds(c: Column, *marks: str):
+    """Replacement that runs its regular expressions only on texts with one of the marks.
+
+    The one-element transform binds the text, so that a chain of steps stays linear in size.
+    """
+
+    def step(change) -> Column:
+        holds = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in marks])
+        return F.get(F.transform(F.array(c), lambda x: F.when(holds(x), change(x)).otherwise(x)), F.lit(0))
+
+    return step
+
+
 def scrub(c: Column, o: CleanOptions = CleanOptions()) -> Column:
     """The replacement steps, in their fixed order."""
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", "")
     if o.nfkc:
         c = nfkc(c)
     if o.latex:
-        c = F.regexp_replace(c, r"\\cite\w*\{[^}]*\}", "[REF]")
-        c = F.regexp_replace(c, r"\\(ref|label|eqref)\{[^}]*\}", "")
-        c = F.regexp_replace(c, r"\$+[^$]*\$+", " [MATH] ")
-        c = F.regexp_replace(c, r"\\[a-zA-Z]+\*?\{[^}]*\}", "")
+        c = where_it_holds(c, "\\")(lambda x: F.regexp_replace(F.regexp_replace(x, r"\\cite\w*\{[^}]*\}", "[REF]"), r"\\(ref|label|eqref)\{[^}]*\}", ""))
+        c = where_it_holds(c, "$")(lambda x: F.regexp_replace(x, r"\$+[^$]*\$+", " [MATH] "))
+        c = where_it_holds(c, "\\")(lambda x: F.regexp_replace(x, r"\\[a-zA-Z]+\*?\{[^}]*\}", ""))
     if o.urls:
-        c = F.regexp_replace(c, URL, "[URL]")
+        c = where_it_holds(c, "://", *WWW)(lambda x: F.regexp_replace(x, URL, "[URL]"))
     if o.emails:
-        c = F.regexp_replace(c, EMAIL, "[EMAIL]")
+        c = where_it_holds(c, "@")(lambda x: F.regexp_replace(x, EMAIL, "[EMAIL]"))
     if o.whitespace:
         c = F.replace(c, F.lit("\t"), F.lit(" "))
-        c = F.regexp_replace(c, r"\r\n?", "\n")
-        c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-        c = F.regexp_replace(c, r" {2,}", " ")
+        c = where_it_holds(c, "\r")(lambda x: F.regexp_replace(x, r"\r\n?", "\n"))
+        c = where_it_holds(c, "\n\n\n")(lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
+        c = where_it_holds(c, "  ")(lambda x: F.regexp_replace(x, r" {2,}", " "))
         c = F.regexp_replace(c, rf"[{WS_IN_LINE}]+(\n|\z)", "$1")
         c = strip(c)
     return F.lower(c) if o.lowercase else c
@@ -84,12 +104,12 @@ def truncate(c: Column, most: int) -> Column:
 def clean(df, column: str = "text", options: CleanOptions = CleanOptions(), into: str = "clean", keep_length: str | None = None):
     """df with the cleaned text, null where the text is null or too short before or after cleaning.
 
-    The scrubbed text is made once: the one-element explode keeps it from being computed again in every use.
+    The scrubbed text is made once.
     """
     raw = F.when(F.length(column) >= options.min_length, scrub(F.col(column), options))
-    df = df.withColumn("_scrubbed", F.explode(F.array(raw)))
+    df = once(df, raw, "_scrubbed")
     kept = F.length("_scrubbed") >= options.min_length
-    df = df.withColumn(into, F.when(kept, truncate(F.col("_scrubbed"), options.max_length)))
+    df = once(df, F.when(kept, truncate(F.col("_scrubbed"), options.max_length)), into)
     if keep_length:
         df = df.withColumn(keep_length, F.length("_scrubbed"))
     return df.drop("_scrubbed")

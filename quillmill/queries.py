@@ -15,6 +15,7 @@ from .functions import text as T
 from .operators import audit as A
 from .operators import corpus as C
 from .operators import coverage as V
+from .sources import corpus as S
 
 OPTIONS = T.CleanOptions(min_length=100, max_length=5000)
 SIZE = 512
@@ -25,7 +26,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").withColumnRenamed("source", "shard")
+    return S.spread(_table(spark, d, "documents")).withColumnRenamed("source", "shard")
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +40,8 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """split, shard_pos, shard, doc_id, ids (ended by 2) of the documents that cleaning keeps."""
     kept = T.clean(C.seen(_split(spark, d)), options=OPTIONS).where("clean is not null")
-    ids = C.ids_in_range(C.with_specials(C.stand_in_ids(F.col("clean")), eos=2))
-    return kept.select("split", "shard_pos", "shard", "doc_id", ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
+    kept = T.once(kept.select("split", "shard_pos", "shard", "doc_id", "clean"), C.with_specials(C.stand_in_ids(F.col("clean")), eos=2), "made")
+    return kept.select("split", "shard_pos", "shard", "doc_id", C.ids_in_range(F.col("made")).alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 def _text(ids):
@@ -219,7 +220,8 @@ def coverage_cursor(spark, d):
 
 
 def _exploded_windows(spark, d, size, step):
-    rows = _table(spark, d, "documents").select("doc_id", F.posexplode(C.windows(C.stand_in_ids(F.col("text")), size, step)).alias("window", "ids"))
+    made = T.once(_corpus(spark, d).select("doc_id", "text"), C.stand_in_ids(F.col("text")), "made")
+    rows = made.select("doc_id", F.posexplode(C.windows(F.col("made"), size, step)).alias("window", "ids"))
     return rows.select("doc_id", "window", F.size("ids").alias("n"), F.md5(_text(F.col("ids"))).alias("ids_md5"))
 
 

@@ -27,6 +27,15 @@ def read_corpus(spark: SparkSession, files: list[str], text: str = "text", colum
     return df.select(F.col(text).alias("text"), *more, F.col("_metadata.file_path").alias("shard"), F.col("_metadata.row_index").alias("row_index"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a file of one row group is one task otherwise.
+
+    Inputs that already have enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_audit_columns(df: DataFrame) -> DataFrame:
     """The optional columns of an audit, null where the files lack them. The text column must be there."""
     if "text" not in df.columns:
