@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a shard table (about 100 bytes each) that are broadcast at most.
+BROADCAST_SHARDS = 100_000
+
+
 def split_names(shards: list[str], val_share: float = 0.05, seed: int = 42) -> dict[str, list[str]]:
     """Whole shards, sorted and shuffled with the seed: the first go to validation, at least one.
 
@@ -39,8 +43,10 @@ def shard_names(corpus: DataFrame) -> list[str]:
 
 
 def with_split(corpus: DataFrame, val_share: float = 0.05, seed: int = 42) -> DataFrame:
-    """The corpus with split and shard_pos; the table of shards is joined as Spark sees fit by its size."""
-    return corpus.join(split_frame(corpus.sparkSession, shard_names(corpus), val_share, seed), "shard")
+    """The corpus with split and shard_pos. The table of shards is broadcast up to BROADCAST_SHARDS rows, else joined by shuffle."""
+    names = shard_names(corpus)
+    place = split_frame(corpus.sparkSession, names, val_share, seed)
+    return corpus.join(F.broadcast(place) if len(names) <= BROADCAST_SHARDS else place, "shard")
 
 
 def seen(corpus: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def tokenize_corpus(spark: SparkSession, root: str, out: str, tokenizer: Tokeniz
     try:
         for split, names in splits.items():
             place = spark.createDataFrame([(f"file://{os.path.realpath(f)}", i) for i, f in enumerate(names)], "shard string, shard_pos int")
-            rows = S.read_corpus(spark, names, text_column).withColumn("shard", F.regexp_replace("shard", "^file:/+", "file:///")).join(place, "shard")
+            rows = S.read_corpus(spark, names, text_column).withColumn("shard", F.regexp_replace("shard", "^file:/+", "file:///")).join(F.broadcast(place) if len(names) <= C.BROADCAST_SHARDS else place, "shard")
             rows = C.seen(rows).withColumnRenamed("row_index", "doc_id")
             if max_docs_per_file:
                 rows = C.first_per_shard(rows, max_docs_per_file)
