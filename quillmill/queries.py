@@ -17,7 +17,7 @@ from .operators import corpus as C
 from .operators import coverage as V
 from .sources import corpus as S
 
-OPTIONS = T.CleanOptions(min_length=100, max_length=5000)
+OPTIONS = T.CleanOptions(min_length=100, max_length=100_000)
 SIZE = 512
 
 
@@ -123,7 +123,7 @@ def shard_seeds(spark, d):
 
 
 def length_stats(spark, d):
-    return A.lengths(_cleaned(spark, d), 100, 5000, 4192)
+    return A.lengths(_cleaned(spark, d), OPTIONS.min_length, OPTIONS.max_length, 4192)
 
 
 def histogram_chars(spark, d):
