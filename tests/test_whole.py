@@ -1,5 +1,8 @@
 """Registered queries over whole tables and whole texts, on small tables of their own."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +42,28 @@ def test_truncation_at_the_length_of_the_reference(spark, folder):
     assert Q.length_stats(spark, folder).first().would_truncate == 1
     rows = spark.createDataFrame([("abcdefgh\n\nxyz",)], "text string")
     assert T.clean(rows, options=T.CleanOptions(min_length=1, max_length=10)).first().clean == "abcdefgh"
+
+
+def test_vectors_and_events_of_every_id(spark, folder):
+    x = np.random.default_rng(7).standard_normal((3, 64)).astype(np.float32).astype(float)
+    ids = [5, 203, 4001]
+    put(spark, folder, "embeddings", [(i, v.tolist(), k) for k, (i, v) in enumerate(zip(ids, x, strict=True))], "vec_id long, embedding array<float>, label int")
+    logits = np.round(x * 10, 4)
+    near = lambda query, of, want: np.testing.assert_allclose(np.array([[r[2] for r in query(spark, folder).where(F.col("vec_id") == i).orderBy(of).collect()] for i in ids]), want, atol=2e-7)
+    p = np.exp(logits / 0.8)
+    near(Q.softmax, "token", p / p.sum(1, keepdims=True))
+    near(Q.top_k, F.desc("logit"), -np.sort(-logits, 1)[:, :5])
+    seen = np.arange(64)[None, :] % 9 == np.array(ids)[:, None] % 9
+    near(Q.repetition_penalty, "token", np.where(seen, logits / 1.2, logits))
+    near(Q.rms_norm, "i", x / np.sqrt((x * x).mean(1, keepdims=True) + 1e-5))
+    near(Q.swiglu, "i", x[:, :32] / (1 + np.exp(-x[:, :32])) * x[:, 32:])
+    angle = np.array(ids)[:, None] * 10000.0 ** (-2.0 * (np.arange(64) % 32) / 64)
+    near(Q.rope, "i", x * np.cos(angle) + np.concatenate([-x[:, 32:], x[:, :32]], 1) * np.sin(angle))
+    loss = {i: math.log(np.exp(v).sum()) - v[k] for k, (i, v) in enumerate(zip(ids, x, strict=True))}
+    assert {r.vec_id: r.loss for r in Q.cross_entropy(spark, folder).collect()} == pytest.approx(loss, abs=1e-7)
+    told = Q.token_weighted_nll(spark, folder).first()
+    assert told.tokens == 3 and told.loss == pytest.approx(sum(loss.values()) / 3, abs=1e-7)
+    assert {r[0] for r in Q.top_p(spark, folder).select("vec_id").collect()} == set(ids)
+    assert {r.group for r in Q.beam_step(spark, folder).collect()} == {1, 50, 1000}
+    put(spark, folder, "events", [(9, "a", 1.0), (10, "a", 1.0), (11, "a", None)], "event_id long, event_type string, value double")
+    assert [tuple(r) for r in Q.latest_complete(spark, folder).collect()] == [("a", 10)]
