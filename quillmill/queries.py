@@ -19,6 +19,8 @@ from .sources import corpus as S
 
 OPTIONS = T.CleanOptions(min_length=100, max_length=100_000)
 SIZE = 512
+#: Accepted documents that a tokenizer is trained on at most.
+TRAIN_DOCUMENTS = 2_000_000
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -93,9 +95,14 @@ def shard_split(spark, d):
     return C.split_frame(spark, C.shard_names(_corpus(spark, d)))
 
 
+def _estimate(corpus, most_per_shard=None):
+    per = corpus.groupBy("shard").agg(F.count("*").alias("n"))
+    n = F.col("n") if most_per_shard is None else F.least("n", F.lit(most_per_shard))
+    return per.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("estimate"))
+
+
 def estimated_documents(spark, d):
-    per = _corpus(spark, d).groupBy("shard").agg(F.count("*").alias("n"))
-    return per.agg(F.sum(F.least("n", F.lit(40))).cast("long").alias("estimate"))
+    return _estimate(_corpus(spark, d))
 
 
 def worker_files(spark, d):
@@ -153,7 +160,7 @@ def audit_summary(spark, d):
 
 def tokenizer_provenance(spark, d):
     kept = T.clean(_split(spark, d), options=OPTIONS).where("clean is not null").withColumn("pos", F.col("shard_pos") + F.when(F.col("split") == "train", 1).otherwise(0))
-    ranked = C.before_in_order(kept.withColumn("one", F.lit(1)).drop("shard_pos").withColumnRenamed("pos", "shard_pos"), "one", [], "before").where("before < 300")
+    ranked = C.before_in_order(kept.withColumn("one", F.lit(1)).drop("shard_pos").withColumnRenamed("pos", "shard_pos"), "one", [], "before").where(F.col("before") < TRAIN_DOCUMENTS)
     per = ranked.groupBy("shard").agg(F.count("*").alias("accepted"), F.count_if(T.over_bytes(F.col("clean"), 4192)).alias("over_limit"))
     shards = C.split_frame(spark, C.shard_names(_corpus(spark, d)))
     return shards.join(per, "shard", "left").select("shard", "split", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("over_limit", F.lit(0)).alias("over_limit"))
@@ -176,7 +183,7 @@ def token_ids(spark, d):
 
 
 def encode_specials(spark, d):
-    ids = C.with_specials(C.stand_in_ids(F.col("text")), bos=1, eos=2, most=16)
+    ids = C.with_specials(C.stand_in_ids(F.col("text")), bos=1, eos=2)
     return _table(spark, d, "documents").select("doc_id", _text(ids).alias("ids"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill import queries as Q
 from quillmill.functions import text as T
+from quillmill.operators import corpus as C
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +68,17 @@ def test_vectors_and_events_of_every_id(spark, folder):
     assert {r.group for r in Q.beam_step(spark, folder).collect()} == {1, 50, 1000}
     put(spark, folder, "events", [(9, "a", 1.0), (10, "a", 1.0), (11, "a", None)], "event_id long, event_type string, value double")
     assert [tuple(r) for r in Q.latest_complete(spark, folder).collect()] == [("a", 10)]
+
+
+def test_no_small_limits(spark, folder, monkeypatch):
+    texts = [f"{i} " + "word " * 30 for i in range(310)]
+    put_documents(spark, folder, texts)
+    assert {len(r.ids.split()) for r in Q.encode_specials(spark, folder).collect()} == {33}
+    assert Q.estimated_documents(spark, folder).first().estimate == 310
+    assert Q.TRAIN_DOCUMENTS == 2_000_000
+    assert sorted(r.accepted for r in Q.tokenizer_provenance(spark, folder).collect()) == [155, 155]
+    assert Q._estimate(Q._corpus(spark, folder), 40).first().estimate == 80
+    monkeypatch.setattr(Q, "TRAIN_DOCUMENTS", 160)
+    assert {r.split: r.accepted for r in Q.tokenizer_provenance(spark, folder).collect()} == {"validation": 155, "train": 5}
+    ids = spark.range(1).select(C.with_specials(F.sequence(F.lit(10), F.lit(40)), bos=1, eos=2, most=16).alias("x")).first().x
+    assert ids == [1, *range(10, 26), 2]
