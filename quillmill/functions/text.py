@@ -27,7 +27,7 @@ class CleanOptions:
 
     min_length: int = 100
     max_length: int = 100_000
-    nfkc: bool = False
+    nfkc: bool = True
     latex: bool = True
     urls: bool = True
     emails: bool = True

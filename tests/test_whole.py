@@ -82,3 +82,11 @@ def test_no_small_limits(spark, folder, monkeypatch):
     assert {r.split: r.accepted for r in Q.tokenizer_provenance(spark, folder).collect()} == {"validation": 155, "train": 5}
     ids = spark.range(1).select(C.with_specials(F.sequence(F.lit(10), F.lit(40)), bos=1, eos=2, most=16).alias("x")).first().x
     assert ids == [1, *range(10, 26), 2]
+
+
+def test_texts_are_nfkc_by_default(spark, folder):
+    put_documents(spark, folder, ["ﬁne Ａ² a b " + "word " * 30, "fine A2 a b " + "word " * 30])
+    assert {r.clean for r in Q.clean_text(spark, folder).collect()} == {("fine A2 a b " + "word " * 30).strip()}
+    assert [r.n for r in Q.cross_split_duplicates(spark, folder).collect()] == [2]
+    put(spark, folder, "pages", [(1, "<p>ﬁ</p>")], "page_id long, html string")
+    assert Q.clean_pages(spark, folder).first().clean == "<p>fi</p>"
