@@ -2,7 +2,9 @@
 
 A page is parsed to a tree (unclosed and implied end tags as browsers treat them). Elements that are
 never content are left out: scripts, styles, forms, menus, footers, asides, and elements whose
-role, class or id names such a part (adverts, notices, sidebars, comments, ...). For every other node
+role, class or id names such a part (adverts, notices, sidebars, comments, ...). Inside an <article> or
+<main> headings are never judged by names, and ids only where a box's whole id is such a name. Text of
+formulas stays, without its annotations. For every other node
 
     density = C/T * log(C/LC * T/LT) / log(log(C/(C-LC) * LC + LCb/Cb * C + e))
 
@@ -48,7 +50,15 @@ _SIBLINGS = {
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
-_DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select input textarea title dialog menu noembed noframes datalist".split())
+_DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select input textarea title dialog menu noembed noframes datalist annotation annotation-xml".split())
+#: Parts of formulas: their text belongs to the block around them. Browsers don't show annotations.
+_MATH = frozenset(
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd".split()
+)
+_UNSHOWN = frozenset("annotation annotation-xml".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Inside an article only these are judged by their id: others' ids are made from titles.
+_BOXES = frozenset("div ul ol dl table center details".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 _BAD = re.compile(
     r"^(?:ads?|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|notification\w*|alert|popup|modal|overlay|lightbox|newsletter|subscribe|subscription|signup|paywall"
@@ -72,19 +82,23 @@ def _names_noise(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     words: list[str] = []
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    found = _ATTRIBUTE.findall(attributes)
+    titled = inside and (tag not in _BOXES or any(name.lower() == "class" and "section" in (a or b or c).lower().split() for name, a, b, c in found))
+    for name, a, b, c in found:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name == "role" and value in _ROLES:
             return True
+        if inside and tag in _HEADINGS or titled and name == "id":
+            continue
         if name in ("class", "id"):
             for part in value.split():
                 pieces = re.split(r"[-_:]+", part)
                 if pieces[0] in ("has", "with", "no", "without", "is", "js"):
                     continue
                 bad = [p for p in pieces if _BAD.match(p)]
-                if inside and bad == ["header"]:
+                if inside and (bad == ["header"] or name == "id" and len(bad) < len(pieces)):
                     continue
                 if bad and (pieces[0] in bad or not _GOOD.intersection(pieces)):
                     words.append(part)
@@ -127,6 +141,8 @@ def parse(page: str) -> _Node:
                         skipped.pop()
                     skipped.append(tag)
                 continue
+            if tag in _MATH:
+                continue
             if tag in _CLOSES_P:
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k].tag == "p":
@@ -151,7 +167,8 @@ def parse(page: str) -> _Node:
             attributes = m[3] or ""
             out = tag in _DROPPED or tag == "header" and not inside or (attributes and _names_noise(tag, attributes, inside))
             if out:
-                node.items.append(None)  # a boundary
+                if tag not in _UNSHOWN:
+                    node.items.append(None)  # a boundary
                 if tag not in _VOID:
                     skipped.append(tag)
                 continue

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from quillmill.llm import neardup
+from quillmill.llm import html_text, neardup
 
 
 def test_near_copies_that_repeat_a_passage_unequally_often(spark):
@@ -17,3 +17,12 @@ def test_near_copies_that_repeat_a_passage_unequally_often(spark):
     assert all((a == b).mean() > 0.9 for a, b in zip(sketch[::2], sketch[1::2], strict=True))
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(24)}
+
+
+def test_sections_named_by_their_titles_stay():
+    page = """<body><nav>Menu</nav><article><h1 class="header">Title</h1><p>First words of the article, more of them.</p><h2 id="discussion">Discussion</h2><p>Talk.</p>
+<section id="related-work"><h2><span id="comments">Related</span></h2><p>Others did this.</p></section><div id="search-methods"><p>We search.</p></div><div class="section level2" id="discussion"><p>More.</p></div>
+<h3 id="copyright">Copyright</h3><p>Sum <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding="application/x-tex">x = 1</annotation></semantics></math> holds.</p>
+<div class="ad">Buy this</div><div id="comments"><p>Reader says.</p></div><h2 hidden id="a">Gone</h2></article></body>"""
+    want = ["Title", "First words of the article, more of them.", "Discussion", "Talk.", "Related", "Others did this.", "We search.", "More.", "Copyright", "Sum x=1 holds."]
+    assert html_text.extract(page).split("\n\n") == want
