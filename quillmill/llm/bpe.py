@@ -31,6 +31,8 @@ import pyarrow as pa
 MAX_CHARS = 1 << 20
 #: Slices longer than this are merged with a heap, one by one.
 LONG_SLICE = 64
+#: Bytes of short slices that are merged at once: positions in a chunk have 22 bits.
+MERGED_BYTES = 1 << 21
 #: Slices that the memo of a worker keeps, about 60 MB.
 MEMO_SLICES = 1 << 19
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -359,8 +361,14 @@ class Vocabulary:
         return [t for t, a in zip(tok, alive, strict=True) if a]
 
     def merge_all(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the slices: a flat array, and of each slice the offset and number there."""
+        """Ids of the slices: a flat array, and of each slice the offset and number there. Short slices are merged in chunks of bounded size."""
         n = len(start)
+        chunk = np.cumsum(np.where(length <= LONG_SLICE, length, 0).astype(np.int64)) // MERGED_BYTES
+        if n and chunk[-1]:
+            edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), n]
+            parts = [self.merge_all(data, start[a:b], length[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            moved = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + m for p, m in zip(parts, moved, strict=True)]), np.concatenate([p[2] for p in parts])
         offset, count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         done: list[np.ndarray] = []
         filled = 0

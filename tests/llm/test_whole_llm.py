@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from quillmill.llm import html_text, neardup
+from quillmill.llm import bpe, html_text, neardup, queries
 
 
 def test_near_copies_that_repeat_a_passage_unequally_often(spark):
@@ -26,3 +26,18 @@ def test_sections_named_by_their_titles_stay():
 <div class="ad">Buy this</div><div id="comments"><p>Reader says.</p></div><h2 hidden id="a">Gone</h2></article></body>"""
     want = ["Title", "First words of the article, more of them.", "Discussion", "Talk.", "Related", "Others did this.", "We search.", "More.", "Copyright", "Sum x=1 holds."]
     assert html_text.extract(page).split("\n\n") == want
+
+
+def test_more_than_4_mib_of_distinct_slices():
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 123, 5 << 20).astype(np.uint8)
+    length = np.resize(np.array([40, 64, 100, 7]), len(data) // 64)
+    start = np.cumsum(length) - length
+    vocabulary = bpe.vocabulary(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    keep = start + length <= len(data)
+    start, length = start[keep], length[keep]
+    repeated = np.concatenate([start, start]), np.concatenate([length, length])
+    flat, offset, count = vocabulary.merge_all(data, *repeated)
+    for i in [0, 1, 2, 3, *rng.integers(0, len(offset), 500).tolist(), len(offset) - 1]:
+        at, n = repeated[0][i], repeated[1][i]
+        assert flat[offset[i] : offset[i] + count[i]].tolist() == vocabulary.merge_one(data[at : at + n].tobytes())
