@@ -6,7 +6,7 @@ keeps the block's projections sorted. Around a query's own projections, windows
 are widened step by step (virtual rehashing: the wider window holds the narrower), and each
 direction in whose window a vector falls counts as a collision. A vector within d of the query
 collides in a direction with probability P(|N(0, 1)| < width / d); vectors with enough collisions for
-most of those within width / REACH (84 % of those just there) are verified by their inner product in double precision. A query
+most of those within width / REACH (90 % of those just there) are verified by their inner product in double precision. A query
 ends when its k-th best verified vector is within width / REACH.
 
 Blocks of vectors and groups of queries have bounded sizes; every block is met by every query group in a
@@ -35,7 +35,7 @@ GROWTH = 1.3
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 256
 #: Standard deviations below the expected collisions at which a vector is still verified.
-SAFETY = 1.0
+SAFETY = 1.28
 SCHEMA = "query_id long, vec_id long, score double, verified long"
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from quillmill.llm import bpe, html_text, neardup, queries
+from quillmill.llm import ann, bpe, html_text, neardup, queries
 
 
 def test_near_copies_that_repeat_a_passage_unequally_often(spark):
@@ -41,3 +41,14 @@ def test_more_than_4_mib_of_distinct_slices():
     for i in [0, 1, 2, 3, *rng.integers(0, len(offset), 500).tolist(), len(offset) - 1]:
         at, n = repeated[0][i], repeated[1][i]
         assert flat[offset[i] : offset[i] + count[i]].tolist() == vocabulary.merge_one(data[at : at + n].tobytes())
+
+
+def test_recall_on_random_unit_vectors():
+    x = np.random.default_rng(8).standard_normal((20000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    index, hits = ann.Index(np.arange(20000), x), 0
+    for q in range(0, 20000, 200):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(set(index.search(q, x[q], 20)[0].tolist()) & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hits >= 0.95 * 2000
