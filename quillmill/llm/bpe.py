@@ -9,11 +9,15 @@ by look-ups in a composition table, blocks beside each other, blocks of blocks a
 a second pass turns the block entry states into boundary bits.
 
 The slices between boundaries are hashed; each distinct slice of a batch is merged once (the
-cache of the batch), all distinct slices in step, one lowest-ranked leftmost pair a round.
-
-Defined cases: null and empty texts have no ids; texts of any length are cut, before the scan,
-where a white space follows a non-white code point (such a place is always a boundary), so
-memory is bounded by ``MAX_CHARS`` as long as texts hold white space.
+cache of the batch), all distinct slices in step, one lowest-ranked leftmost pair a round. Equal hashes
+are never trusted: every slice is compared with the one that was merged for it, byte by byte.
+
+Defined cases: null and empty texts have no ids; texts of any length are cut, before the scan, at places
+that are always boundaries: where white space follows something else, and between letters, numbers and
+other characters (but not after an apostrophe). So memory is bounded by ``MAX_CHARS`` and the longest
+single slice, of which merging takes some 30 bytes a byte and a queue of the pairs that merges make.
+Added tokens of a `.json` vocabulary are found in texts as the tokenizers library finds them; a
+`.tiktoken` file has none, so that such strings are ordinary text there.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from array import array
 from functools import lru_cache
 from itertools import repeat
 
@@ -166,17 +172,28 @@ def boundaries(kinds: np.ndarray, width: int = 64) -> np.ndarray:
     return starts
 
 
-def cut_points(text: str, most: int = MAX_CHARS) -> list[int]:
+#: Letters, numbers, other characters with the apostrophe, white space: of each class.
+_GROUP = np.array([2, 0, 1, 3, 3, 2, 0, 0, 0, 0, 0, 4], dtype=np.uint8)
+
+
+def _sure(text: str, p: int) -> int:
+    """The first offset from p on that is a boundary whatever stands before it; the end of the text if there is none."""
+    while p < len(text):
+        kinds = classes()[np.frombuffer(text[p - 1 : p + 4096].encode("utf-32-le"), dtype=np.uint32)]
+        before, after = _GROUP[kinds[:-1]], _GROUP[kinds[1:]]
+        found = np.flatnonzero((before != after) & (before != 3) & ~((kinds[:-1] == QUOTE) & (after == 0)))
+        if len(found):
+            return p + int(found[0])
+        p += len(before)
+    return len(text)
+
+
+def cut_points(text: str, most: int | None = None) -> list[int]:
     """Offsets that cut a long text into pieces of about `most` code points, each at a sure boundary."""
+    most = most or MAX_CHARS
     cuts, at = [0], 0
-    while len(text) - at > most:
-        p = at + most
-        while p < len(text) and not (text[p].isspace() and not text[p - 1].isspace() and classes()[ord(text[p])] in (BLANK, WHITE)):
-            p += 1
-        if p >= len(text):
-            break
-        cuts.append(p)
-        at = p
+    while len(text) - at > most and (at := _sure(text, at + most)) < len(text):
+        cuts.append(at)
     return cuts
 
 
@@ -191,24 +208,9 @@ def spans(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return flat[index]
 
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POW:
-        if size <= 1 << 22:
-            _POW.clear()
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        got = np.cumprod(up), np.cumprod(down)
-        if size > 1 << 22:
-            return got
-        _POW[size] = got
-    return _POW[size]
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -218,36 +220,87 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every offset of data on, as one number each (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] by prefix sums of a polynomial."""
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    """64-bit hashes of data[start:end], by their bytes: eight bytes after another are mixed in; long slices sum mixes of bytes and place.
+
+    Nothing in it is linear in the bytes, so that no family of texts collides by construction of a polynomial.
+    """
+    data = np.ascontiguousarray(data)
+    unit = data.itemsize
+    word = _eights(data.view(np.uint8))
+    start, length = start.astype(np.int64) * unit, (end - start).astype(np.int64) * unit
+    h = mix64(length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(_BASE))
+    live, at = np.arange(len(start)), 0
+    while at < LONG_SLICE and len(live := live[length[live] > at]):
+        part = word[start[live] + at] & _LOW[np.minimum(length[live] - at, 8)]
+        h[live] = mix64(h[live] * np.uint64(0x9FB21C651E98DF25) + part)
+        at += 8
+    live = live[length[live] > LONG_SLICE] if len(live) else live
+    if len(live):
+        n = (length[live] - LONG_SLICE + 7) >> 3
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        offset = LONG_SLICE + 8 * place
+        part = word[np.repeat(start[live], n) + offset] & _LOW[np.minimum(np.repeat(length[live], n) - offset, 8)]
+        h[live] = mix64(h[live] + np.add.reduceat(mix64(part ^ mix64(place.astype(np.uint64) + np.uint64(_BASE))), first))
+    return h
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the slices of data (bytes) at a and at b, of the same length each, are equal."""
+    word = _eights(data)
+    same = np.ones(len(a), dtype=bool)
+    live, at = np.flatnonzero(a != b), 0
+    while at < LONG_SLICE and len(live := live[length[live] > at]):
+        same[live] = ((word[a[live] + at] ^ word[b[live] + at]) & _LOW[np.minimum(length[live] - at, 8)]) == 0
+        live = live[same[live]]
+        at += 8
+    for i in live[length[live] > LONG_SLICE].tolist() if len(live) else []:
+        same[i] = np.array_equal(data[a[i] : a[i] + length[i]], data[b[i] : b[i] + length[i]])
+    return same
 
 
 class Vocabulary:
     """Ranks of a public byte-level vocabulary: a `.tiktoken` rank file or a `.json` of the tokenizers library."""
 
     def __init__(self, path: str):
+        self.added: dict[str, int] = {}
         if path.endswith(".json"):
             import json
 
             with open(path, encoding="utf-8") as f:
-                model = json.load(f)["model"]
+                whole = json.load(f)
+            model = whole["model"]
+            for t in whole.get("added_tokens", ()):
+                if t["single_word"] or t["lstrip"] or t["rstrip"]:
+                    raise ValueError(f"the added token {t['content']!r} takes more than its own text")
+                self.added[t["content"]] = t["id"]
             shown = {c: b for b, c in _shown_bytes().items()}
             merged = {a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
             self.ranks = {bytes(shown[c] for c in t): i for t, i in model["vocab"].items() if t in merged or len(t) == 1 and t in shown}
         else:
             with open(path, "rb") as f:
                 self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        size = max(self.ranks.values()) + 1
+        size = max([*self.ranks.values(), *self.added.values()]) + 1
         self.size = size
+        self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         words = [b""] * size
         for w, i in self.ranks.items():
             words[i] = w
+        for t, i in self.added.items():
+            words[i] = t.encode()
+        self.words = words
         self.length = np.array([len(w) for w in words], dtype=np.int32)
         self.start = np.concatenate([[0], np.cumsum(self.length[:-1])]).astype(np.int64)
         self.flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -279,6 +332,9 @@ class Vocabulary:
         """
         keys = hashes.tolist()
         known = np.fromiter(map(self.memo.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        fresh = known < 0
+        old = np.flatnonzero(~fresh)
+        known[old[~self._said(known[old], data, start[old], length[old])]] = -1  # another slice of the same hash is in the memo
         new = np.flatnonzero(known < 0)
         flat, offset, count = self.merge_all(data, start[new], length[new])
         old = np.flatnonzero(known >= 0)
@@ -287,7 +343,7 @@ class Vocabulary:
         all_offset, all_count = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
         all_offset[new], all_count[new] = offset, count
         all_offset[old], all_count[old] = len(flat) + np.cumsum(n_old) - n_old, n_old
-        short = length[new] <= LONG_SLICE
+        short = (length[new] <= LONG_SLICE) & fresh[new]
         add, n_add, lengths = new[short], offset[short], count[short]
         total = int(lengths.sum())
         if len(self.memo) + len(add) > MEMO_SLICES or self.memo_used + total > len(self.memo_flat):
@@ -301,6 +357,18 @@ class Vocabulary:
             self.memo_used += total
         return np.concatenate([flat, old_flat]), all_offset, all_count
 
+    def _said(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the memo's entries decode to these slices."""
+        n = self.memo_count[entry]
+        ids = spans(self.memo_flat, self.memo_offset[entry], n)
+        size = self.length[ids].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(n)])
+        own = total[upto[1:]] - total[upto[:-1]]
+        if np.array_equal(own, length) and np.array_equal(spans(self.flat, self.start[ids], size), spans(data, start, length)):
+            return np.ones(len(entry), dtype=bool)
+        return np.array([self.decode(ids[a:b]) == data[s : s + k].tobytes() for a, b, s, k in zip(upto[:-1], upto[1:], start, length, strict=True)], dtype=bool)
+
     def _hash(self, pairs: dict[int, int]) -> None:
         """Open addressing, filled round by round so that look-ups are vectorised."""
         self.bits = 21
@@ -335,30 +403,44 @@ class Vocabulary:
         return out
 
     def merge_one(self, word: bytes) -> list[int]:
-        """One slice, with a heap: pairs by rank, then from the left."""
-        get = self.ranks.get
-        tok: list[int] = [int(self.byte[b]) for b in word]
-        text = [bytes([b]) for b in word]
-        n = len(tok)
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, size = heapq.heappop(heap)
-            if not alive[i] or (j := nxt[i]) >= n or len(text[i]) + len(text[j]) != size or get(text[i] + text[j]) != r:
+        return self.merge_long(word).tolist()
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """One slice, pair after pair: by rank, then from the left.
+
+        The pairs of the bytes are sorted once; only pairs that merges make go to a heap.
+        """
+        get, words, n = self.ranks.get, self.words, len(word)
+        first = self.byte[np.frombuffer(word, dtype=np.uint8)]
+        rank = self.pair_rank(first[:-1], first[1:])
+        begin = np.flatnonzero(rank < _NONE)
+        queue = np.sort(rank[begin] << np.int64(40) | begin)
+        tok, nxt, prv = array("i", first.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        del first, rank, begin
+        stream = (k for at in range(0, len(queue), 1 << 16) for k in queue[at : at + (1 << 16)].tolist())
+        heap: list[int] = []
+        none, low = 1 << 62, (1 << 40) - 1
+        head = next(stream, none)
+        while True:
+            if heap and heap[0] < head:
+                key = heapq.heappop(heap)
+            elif head < none:
+                key, head = head, next(stream, none)
+            else:
+                break
+            r, i = key >> 40, key & low
+            if tok[i] < 0 or (j := nxt[i]) >= n or get(words[tok[i]] + words[tok[j]]) != r:
                 continue
-            text[i], tok[i], alive[j] = text[i] + text[j], r, False
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-                both = text[i] + text[nxt[j]]
-                if (x := get(both)) is not None:
-                    heapq.heappush(heap, (x, i, len(both)))
-            if (p := prv[i]) >= 0:
-                both = text[p] + text[i]
-                if (x := get(both)) is not None:
-                    heapq.heappush(heap, (x, p, len(both)))
-        return [t for t, a in zip(tok, alive, strict=True) if a]
+            tok[i], tok[j] = r, -1
+            k = nxt[i] = nxt[j]
+            if k < n:
+                prv[k] = i
+                if (x := get(words[r] + words[tok[k]])) is not None:
+                    heapq.heappush(heap, x << 40 | i)
+            if (p := prv[i]) >= 0 and (x := get(words[tok[p]] + words[r])) is not None:
+                heapq.heappush(heap, x << 40 | p)
+        out = np.frombuffer(tok, dtype=np.int32)
+        return out[out >= 0]
 
     def merge_all(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the slices: a flat array, and of each slice the offset and number there. Short slices are merged in chunks of bounded size."""
@@ -373,7 +455,7 @@ class Vocabulary:
         done: list[np.ndarray] = []
         filled = 0
         for i in np.flatnonzero(length > LONG_SLICE):
-            ids = np.array(self.merge_one(data[start[i] : start[i] + length[i]].tobytes()), dtype=np.int32)
+            ids = self.merge_long(data[start[i] : start[i] + length[i]].tobytes())
             done.append(ids)
             offset[i], count[i] = filled, len(ids)
             filled += len(ids)
@@ -449,8 +531,30 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and the offset of each text among them (one more at the end)."""
+    """Ids of all texts, one after another, and the offset of each text among them (one more at the end). Added tokens keep their ids."""
     voc = vocabulary(path)
+    if voc.added_pattern is None or not any(t and s in t for s in voc.added for t in texts):
+        return _encode(texts, voc)
+    parts: list[str | None] = []
+    owner: list[int] = []
+    found: list[tuple[int, int]] = []  # after which part, which id
+    for i, t in enumerate(texts):
+        at = 0
+        for m in voc.added_pattern.finditer(t or ""):
+            parts.append(t[at : m.start()])
+            owner.append(i)
+            found.append((len(parts), voc.added[m[0]]))
+            at = m.end()
+        parts.append(t[at:] if t else None)
+        owner.append(i)
+    ids, offset = _encode(parts, voc)
+    after, which = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+    ids = np.insert(ids, offset[after], which)
+    counts = np.bincount(owner, weights=np.diff(offset), minlength=len(texts)) + np.bincount(np.array(owner)[after - 1], minlength=len(texts))
+    return ids, np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+
+
+def _encode(texts: list[str | None], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     kinds_of = classes()
     counts = np.zeros(len(texts), dtype=np.int64)
     parts: list[np.ndarray] = []
@@ -477,10 +581,19 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
         real = kinds[at] != END
         stop = np.append(byte_at[1:], len(data))[real]
         begin = byte_at[real]
+        length = stop - begin
         code, distinct = pd.factorize(slice_hashes(data, begin, stop))
         where = np.zeros(len(distinct), dtype=np.int64)
         where[code[::-1]] = np.arange(len(code))[::-1]
-        flat, offset, number = voc.merged(distinct, data, begin[where], (stop - begin)[where])
+        flat, offset, number = voc.merged(distinct, data, begin[where], length[where])
+        odd = length != length[where[code]]
+        even = np.flatnonzero(~odd)
+        odd[even] = ~same_bytes(data, begin[even], begin[where[code[even]]], length[even])
+        if odd.any():  # slices whose hash another slice of the batch has: merged on their own
+            odd = np.flatnonzero(odd)
+            more, more_offset, more_number = voc.merge_all(data, begin[odd], length[odd])
+            code[odd] = len(offset) + np.arange(len(odd))
+            offset, number, flat = np.concatenate([offset, more_offset + len(flat)]), np.concatenate([number, more_number]), np.concatenate([flat, more])
         n_ids = number[code]
         parts.append(spans(flat, offset[code], n_ids))
         text_of = np.searchsorted(ends, at[real])
@@ -519,6 +632,19 @@ def text_groups(texts: list[str | None], most: int = MAX_CHARS) -> list[tuple[in
     return out
 
 
+def _sums(voc: Vocabulary, ids: np.ndarray) -> tuple[str, str, int]:
+    """SHA-256 of the ids as text and of the decoded bytes, and the number of these; in pieces, so that memory is bounded."""
+    told, back, size = hashlib.sha256(), hashlib.sha256(), 0
+    for lo in range(0, len(ids), 1 << 18):
+        some = ids[lo : lo + (1 << 18)]
+        said = spans(voc.said, voc.said_start[some], voc.said_length[some])
+        text = spans(voc.flat, voc.start[some], voc.length[some])
+        told.update(said if lo else said[1:])
+        back.update(text)
+        size += len(text)
+    return told.hexdigest(), back.hexdigest(), size
+
+
 def digest_batches(batches, path: str):
     """Rows (doc_id, text) to doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_equal."""
     voc = vocabulary(path)
@@ -527,14 +653,10 @@ def digest_batches(batches, path: str):
         rows: list[tuple[int, str, str, bool]] = []
         for a, b in text_groups(texts):
             ids, offset = encode(texts[a:b], path)
-            said = spans(voc.said, voc.said_start[ids], voc.said_length[ids]).data
-            said_at = np.concatenate([[0], np.cumsum(voc.said_length[ids], dtype=np.int64)])[offset]
-            text = spans(voc.flat, voc.start[ids], voc.length[ids]).data
-            text_at = np.concatenate([[0], np.cumsum(voc.length[ids], dtype=np.int64)])[offset]
             for i in range(b - a):
-                told = said[said_at[i] + 1 : said_at[i + 1]] if said_at[i + 1] > said_at[i] else b""
-                back = text[text_at[i] : text_at[i + 1]]
-                rows.append((int(offset[i + 1] - offset[i]), hashlib.sha256(told).hexdigest(), hashlib.sha256(back).hexdigest(), bytes(back) == (texts[a + i] or "").encode()))
+                sha, back, size = _sums(voc, ids[offset[i] : offset[i + 1]])
+                whole = (texts[a + i] or "").encode()
+                rows.append((int(offset[i + 1] - offset[i]), sha, back, size == len(whole) and back == hashlib.sha256(whole).hexdigest()))
         n, ids_sha, text_sha, equal = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(equal, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 

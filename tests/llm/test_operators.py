@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ def encoder():
 
 
 ENCODER = encoder()
+LIBRARY = tokenizers.Tokenizer.from_file(MODEL)
 
 
 @settings(max_examples=300, deadline=None)
@@ -72,7 +74,6 @@ def test_bpe_query_and_frames(spark, awkward, empty):
     assert bpe.Vocabulary(MODEL).ranks == bpe.vocabulary(RANKS).ranks
     texts = [t or "" for _, t, _ in AWKWARD]
     t = Tokenizer.from_file(MODEL)
-    t.encode_special_tokens = True
     ids, offset = bpe.encode(texts, MODEL)
     for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
         assert ids[offset[i] : offset[i + 1]].tolist() == e.ids
@@ -95,7 +96,7 @@ def check_packing(rows, texts, size):
             assert r.offset == at
             at += r.length
         assert at == size or at & (at - 1) == 0 and at < size
-    assert total == sum(len(ENCODER.encode_ordinary(t or "")) + 1 for t in texts)
+    assert total == sum(len(e.ids) + 1 for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False))
 
 
 def test_packing(spark, awkward, empty):
