@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -73,7 +74,45 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Parts that the rows of heavy keys are spread over, and the rows below which a key is never heavy.
+SPREAD, LEAST_HEAVY = 1024, 200_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner", spread: int | None = None, least: int | None = None) -> DataFrame:
+    """left joined with right, which has one row a key; rows of left with a heavy key are spread over several tasks.
+
+    A key is heavy with more than 1 / `spread` of the rows (and more than `least`), so that there are fewer
+    than `spread` of them, whatever the data: only these keys reach the driver and are broadcast, and right
+    is repeated fewer than 2 * `spread` times in all. counts (key, n) saves counting. Keys of left aren't null.
+    """
+    spread, least = spread or SPREAD, LEAST_HEAVY if least is None else least
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(total // spread, least)
+    if total <= limit:
+        return left.join(right, key, how)
+    heavy = counts.where(F.col("n") > limit).collect()
+    if not heavy:
+        return left.join(right, key, how)
+    kind = counts.schema[key].dataType.simpleString()
+    salts = left.sparkSession.createDataFrame([(r[key], -(-r["n"] // limit)) for r in heavy], f"{key} {kind}, salts_ long")
+    many = F.coalesce("salts_", F.lit(1))
+    salted = left.join(F.broadcast(salts), key, "left").withColumn("salt_", F.monotonically_increasing_id() % many).drop("salts_")
+    repeated = right.join(F.broadcast(salts), key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts_")
+    return salted.join(repeated, [key, "salt_"], how).drop("salt_")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -78,3 +78,77 @@ def test_added_tokens_as_the_library():
         for i, t in enumerate(some):
             assert ids[offset[i] : offset[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
             assert bpe.vocabulary(MODEL).decode(ids[offset[i] : offset[i + 1]]) == (t or "").encode()
+
+
+def near(words, rnd, n):
+    words = list(words)
+    for k in rnd.sample(range(len(words)), n):
+        words[k] = f"x{rnd.randrange(10**9)}"
+    return " ".join(words)
+
+
+@pytest.fixture
+def salted(monkeypatch):
+    """Thresholds so low that small tables take the paths of heavy keys and large buckets."""
+    from quillmill.llm import neardup, runtime
+
+    monkeypatch.setattr(runtime, "LEAST_HEAVY", 5)
+    monkeypatch.setattr(runtime, "SPREAD", 16)
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+
+
+def classes_of(spark, rows):
+    from quillmill.llm import neardup
+
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    return {r.doc_id: r.class_id for r in found}
+
+
+def test_near_duplicates_with_heavy_keys(spark, salted):
+    from tests.llm.test_operators import brute_classes
+
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, near(base, rnd, rnd.randrange(0, 12))) for i in range(120)]  # one large bucket of several classes
+    rows += [(200 + i, "the same text of every copy") for i in range(60)] + [(300 + i, "") for i in range(30)]
+    rows += [(400 + i, " ".join(f"v{rnd.randrange(10**9)}" for _ in range(50))) for i in range(30)]
+    assert classes_of(spark, rows) == brute_classes(rows)
+
+
+def test_ids_with_several_texts(spark):
+    from quillmill.llm import neardup
+
+    rnd = random.Random(7)
+    a, b = [f"a{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    for order in (1, -1):
+        rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b, rnd, 2)), (3, near(b, rnd, 2)), (4, "something else"), (5, None), (5, None)][::order]
+        assert classes_of(spark, rows) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+        left = neardup.survivors(spark.createDataFrame(rows, "doc_id long, text string").withColumn("own_id_", rnd_column())).collect()
+        assert sorted((r.doc_id, r.text or "") for r in left) == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, "something else"), (5, "")])
+
+
+def rnd_column():
+    from pyspark.sql import functions as F
+
+    return F.lit(1)
+
+
+@pytest.mark.parametrize("times", [5, 60])
+def test_recall_with_repeated_shingles(spark, times):
+    """Pairs at a plain Jaccard similarity of 0.8 to 0.83 whose unshared shingles are repeated."""
+    rnd = random.Random(times)
+    rows, pairs = [], 100
+    for k in range(pairs):
+        shared = [f"s{k}-{i}" for i in range(404)]
+        for side in (0, 1):
+            own = [f"o{k}-{side}-{i}" for i in range(42 if k % 2 else 36)]
+            rows.append((2 * k + side, " ".join(shared + own * times)))
+    found = classes_of(spark, rows)
+    from tests.llm.test_operators import brute_classes
+
+    want = brute_classes(rows)
+    missed = [d for d in want if want[d] != found[d]]
+    assert sum(want[d] != d for d in want) >= 0.9 * pairs and len(missed) <= 0.01 * pairs
+    assert rnd
