@@ -9,17 +9,22 @@ collides in a direction with probability P(|N(0, 1)| < width / d); vectors with
 most of those within width / REACH (90 % of those just there) are verified by their inner product in double precision. A query
 ends when its k-th best verified vector is within width / REACH.
 
-Blocks of vectors and groups of queries have bounded sizes; every block is met by every query group in a
-cell of its own, and the best of a query's blocks are merged. Every vector is indexed.
-
-Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite
-component, and rows without an id, take no part; rows that repeat an id are one vector (the least);
+Vectors are divided into blocks of bounded size by a hash of their id. The index of a block is built once, by
+the one task that gets its vectors, and written to the shared folder; tasks then take a block and a
+part of the queries, and read both from there. So each vector is shuffled once, whatever the number of queries,
+and otherwise only results travel; the best of a query's blocks are merged. Every vector is indexed. Reading
+and searching grow with queries times vectors, as the queries are a share of the vectors.
+
+Defined cases: vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take
+no part; vectors meet those of their own length only; rows that repeat an id are one vector (the least);
 with fewer than k candidates all are returned; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,8 @@ PROJECTIONS = 64
 REACH = 0.9
 GROWTH = 1.3
 BLOCK_ROWS = 1 << 15
-QUERY_ROWS = 256
+#: Queries of a task at most; and of all tasks' files of queries, the rows read at once.
+QUERY_ROWS, READ_ROWS = 1 << 16, 1 << 12
 #: Standard deviations below the expected collisions at which a vector is still verified.
 SAFETY = 1.28
 SCHEMA = "query_id long, vec_id long, score double, verified long"
@@ -43,22 +49,42 @@ class Index:
     """Sorted projections of one block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 20):
-        order = np.argsort(ids)
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, d = vectors.shape
+        by_id = np.argsort(ids)
+        self.ids, self.vectors, self.seed = ids[by_id], vectors[by_id], seed
         squares = (self.vectors**2).sum(1)
         self.norm = math.sqrt(float(squares.max()))
         lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(self.norm**2 - squares, 0))]) / self.norm
-        self.directions = np.random.default_rng(seed).standard_normal((d + 1, PROJECTIONS))
-        projected = np.ascontiguousarray((lifted @ self.directions).T)
-        self.order = np.argsort(projected, axis=1, kind="stable")
+        projected = np.ascontiguousarray((lifted @ self._directions()).T).astype(np.float32)
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.uint16 if len(ids) <= 1 << 16 else np.int32)
+        self._arrange(np.take_along_axis(projected, self.order.astype(np.int64), 1))
+
+    def _directions(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
+
+    def _arrange(self, projected: np.ndarray) -> None:
+        self.directions = self._directions()
         # One ascending array: direction j's projections, moved by j times more than they can span.
         self.span = 4 * float(np.abs(self.directions).sum(0).max())
         self.shift = np.arange(PROJECTIONS) * self.span
-        self.sorted = (np.take_along_axis(projected, self.order, 1) + self.shift[:, None]).ravel()
+        self.projected = projected
+        self.sorted = (projected.astype(np.float64) + self.shift[:, None]).ravel()
         inside = math.erf(REACH / math.sqrt(2))
         self.enough = math.floor(PROJECTIONS * inside - SAFETY * math.sqrt(PROJECTIONS * inside * (1 - inside)))
 
+    def dump(self) -> bytes:
+        short = self.vectors.astype(np.float32)
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, projected=self.projected, norm=self.norm, seed=self.seed)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Index:
+        self, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
+        self.ids, self.vectors, self.order = parts["ids"], parts["vectors"].astype(np.float64), parts["order"]
+        self.norm, self.seed = float(parts["norm"]), int(parts["seed"])
+        self._arrange(parts["projected"])
+        return self
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k nearest found, and the number of vectors verified."""
         n = len(self.ids)
@@ -107,19 +133,49 @@ class Index:
         return self.ids[rows[best]], scores[best], len(rows)
 
 
-def search_cell(key, table: pa.Table, k: int) -> pa.Table:
-    query = table.column("is_query").to_numpy(zero_copy_only=False)
-    ids = table.column("vec_id").to_numpy()
-    vectors = np.asarray(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-    if (~query).any() and query.any():
-        index = Index(ids[~query], vectors[~query])
-        for i, v in zip(ids[query].tolist(), vectors[query], strict=True):
-            found, scores, verified = index.search(i, v, k)
-            out.append((np.full(len(found), i), found, scores, verified))
-    columns = [np.concatenate([x[j] for x in out]) if out else np.zeros(0) for j in range(3)]
-    verified = np.concatenate([np.full(len(x[1]), x[3]) for x in out]) if out else np.zeros(0)
-    return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64)), "verified": pa.array(verified.astype(np.int64))})
+def write_index(key, table: pa.Table, folder: str) -> pa.Table:
+    """The index of one block, as a file of the shared folder; a task that is run again writes the same."""
+    from pyarrow import fs as arrow_fs
+
+    files, at = arrow_fs.FileSystem.from_uri(folder)
+    files.create_dir(at, recursive=True)
+    block, n = key[0].as_py(), table.num_rows
+    vectors = np.asarray(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
+    made = f"{at}/.{block}-{uuid.uuid4().hex}"
+    with files.open_output_stream(made) as f:
+        f.write(Index(table.column("vec_id").to_numpy(), vectors).dump())
+    files.move(made, f"{at}/{block}.npz")
+    return pa.table({"block": pa.array([block], pa.int64()), "n": pa.array([n], pa.int64())})
+
+
+def search_batches(batches, folder: str, queries: str, parts: int, k: int):
+    """Rows (id): block id // parts is searched for part id % parts of the queries."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs as arrow_fs
+
+    files, at = arrow_fs.FileSystem.from_uri(folder)
+    asked_files, asked_at = arrow_fs.FileSystem.from_uri(queries)
+    held, index = -1, None
+    for batch in batches:
+        for task in batch.column("id").to_pylist():
+            block, part = divmod(task, parts)
+            where = f"{asked_at}/part={part}"
+            if arrow_fs.FileType.NotFound in (asked_files.get_file_info(where).type, files.get_file_info(f"{at}/{block}.npz").type):
+                continue  # no vector has a hash of this part, or of this block
+            if block != held:
+                with files.open_input_stream(f"{at}/{block}.npz") as f:
+                    held, index = block, Index.load(f.read())
+            for some in ds.dataset(where, filesystem=asked_files, format="parquet").to_batches(columns=["vec_id", "embedding"], batch_size=READ_ROWS):
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+                for i, v in zip(some.column("vec_id").to_pylist(), some.column("embedding"), strict=True):
+                    query = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    if len(query) == index.vectors.shape[1]:
+                        found, scores, verified = index.search(i, query, k)
+                        out.append((np.full(len(found), i), found, scores, np.full(len(found), verified)))
+                if out:
+                    q, found, scores, verified = (np.concatenate(x) for x in zip(*out, strict=True))
+                    columns = [pa.array(q.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(scores), pa.array(verified.astype(np.int64))]
+                    yield pa.record_batch(columns, names=["query_id", "vec_id", "score", "verified"])
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -132,15 +188,26 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score, verified: the k nearest found of every vector for which is_query holds."""
-    rows = runtime.written(valid(vectors), "vectors")
-    size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dimension, n = (size[0]["d"], size[0]["count"]) if size else (0, 0)
-    rows = rows.where(F.size("embedding") == dimension)
-    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(rows.where(is_query).count() / QUERY_ROWS))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    hashed = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    data = rows.select(hashed(blocks).alias("block"), every(groups).alias("part"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    asked = rows.where(is_query).select(every(blocks).alias("block"), hashed(groups).alias("part"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    found = data.unionByName(asked).groupBy("block", "part").applyInArrow(runtime.shipped_table("quillmill.llm.ann:search_cell", k=k), SCHEMA)
+    spark = vectors.sparkSession
+    rows = runtime.written(valid(vectors).withColumn("length", F.size("embedding")), "vectors")
+    lengths = [(r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()]  # one row a length
+    blocks, first = 0, []
+    for length, n in lengths:
+        first.append((length, blocks, -(-n // BLOCK_ROWS)))
+        blocks += first[-1][2]
+    asked = rows.where(is_query)
+    n_asked = asked.count()
+    # Few blocks: their queries are divided over the cores. Many: a task has QUERY_ROWS queries at most.
+    parts = max(-(-2 * spark.sparkContext.defaultParallelism // max(blocks, 1)), -(-n_asked // QUERY_ROWS), 1)
+    folder, queries = (f"{runtime.shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("index", "asked"))
+    hashed = lambda count: F.pmod(F.xxhash64("vec_id"), count)
+    asked.select("vec_id", "embedding", hashed(F.lit(parts)).alias("part")).repartition(min(parts, 1 << 14), "part").write.partitionBy("part").parquet(queries)
+    placed = rows.join(F.broadcast(spark.createDataFrame(first, "length int, first long, own long")), "length")
+    placed = placed.select((F.col("first") + hashed(F.col("own"))).alias("block"), "vec_id", "embedding")
+    call = runtime.shipped_table("quillmill.llm.ann:write_index", folder=folder)
+    placed.groupBy("block").applyInArrow(call, "block long, n long").agg(F.sum("n")).collect()
+    tasks = spark.range(0, blocks * parts, 1, max(1, min(blocks * parts, 1 << 16)))
+    found = tasks.mapInArrow(runtime.shipped("quillmill.llm.ann:search_batches", folder=folder, queries=queries, parts=parts, k=k), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    runtime.discard(rows)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")

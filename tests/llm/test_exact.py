@@ -152,3 +152,33 @@ def test_recall_with_repeated_shingles(spark, times):
     missed = [d for d in want if want[d] != found[d]]
     assert sum(want[d] != d for d in want) >= 0.9 * pairs and len(missed) <= 0.01 * pairs
     assert rnd
+
+
+def test_vectors_of_several_lengths_and_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillmill.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    rng = np.random.default_rng(12)
+    x = {i: rng.standard_normal(8 if i % 3 else 5) for i in range(1200)}
+    frame = spark.createDataFrame([(i, v.tolist(), "p") for i, v in x.items()], "vec_id long, embedding array<double>, part string")
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1200, 20):
+        near = sorted(((-float((x[i] * x[q]).sum()), i) for i in x if i != q and len(x[i]) == len(x[q])))[:5]
+        assert all(len(x[i]) == len(x[q]) and abs(s - float((x[i] * x[q]).sum())) < 1e-12 for i, s in got[q])
+        hits += len({i for _, i in near} & {i for i, _ in got[q]})
+    assert hits >= 0.9 * 5 * 60
+
+
+def test_index_survives_its_file():
+    from quillmill.llm import ann
+
+    x = np.random.default_rng(3).standard_normal((500, 16)).astype(np.float32).astype(np.float64)
+    one = ann.Index(np.arange(500), x)
+    two = ann.Index.load(one.dump())
+    for q in range(0, 500, 50):
+        assert all(np.array_equal(a, b) for a, b in zip(one.search(q, x[q], 20), two.search(q, x[q], 20), strict=True))
