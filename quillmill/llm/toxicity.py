@@ -1,16 +1,20 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-Tokens are runs of letters or numbers of the lower-cased text. A token's weight is its log-odds
-ratio between toxic and other labelled documents under a Dirichlet prior: half a document for each
-token, and `prior` documents in proportion to its use in both (counts are of documents, equal texts
-counting once); only clearly toxic tokens (z at least ``Z``) keep a weight, of at
-most ``TOP_TOKENS`` tokens, all others cost ``drift``. A linear-time scan finds all maximal scoring
-segments of a whole text. For texts of no toxic passage the best segment follows an extreme-value
-law with K and lambda fitted on the labelled documents with label 0; its E-value, and those of
-all further significant segments, give one statistic, and a logistic curve on it gives the score.
-
-The fit uses a bounded sample of labelled rows (``labelled.SAMPLE_ROWS``, 20,000). Only the text is
-an input of a score.
+Tokens are runs of letters or numbers of the lower-cased text. A token's weight is its log-odds ratio
+between toxic and other labelled documents (documents that hold it are counted, equal texts once) under a
+Dirichlet prior of `prior` documents a token, divided between the classes by their size, so that a token
+without evidence has weight 0. Weights keep their sign, and are drawn to 0 by z^2 / (z^2 + `doubt`^2), where
+z is the ratio over its standard error; each token also costs `drift`, so that chance segments
+end. A linear-time scan finds all maximal scoring segments of a whole text.
+
+In texts of no toxic passage the best segment follows an extreme-value law, whose K and lambda are fitted by
+maximum likelihood to the labelled documents with label 0; the evidence of a text is the negative log E-value of
+its best segment plus those of all further significant ones, and a logistic curve gives the score. Law
+and curve are fitted across two folds: each fold's documents are judged by weights of the other fold alone, so
+that no document counts as evidence for the weights that judge it. The final weights come from both.
+
+The fit uses a bounded sample of labelled rows (``labelled.SAMPLE_ROWS``, 20,000); all their tokens are kept,
+and four numbers a document reach the driver. Only the text is an input of a score.
 
 Defined cases: null and empty texts have no tokens and score as a text without a segment; without
 labels of both classes every score is the share of label 1 (0 without any label); repeated rows are
@@ -29,8 +33,6 @@ from pyspark.sql import functions as F
 from . import bpe, labelled, runtime
 
 SCORED = "doc_id long, score double, passages array<struct<start:long,length:long,weight:double,e_value:double>>"
-TOP_TOKENS = 50_000
-Z = 3.0
 
 
 def _lower(text: str) -> str:
@@ -59,18 +61,14 @@ class Tokens:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
 
-def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[float, int, int]]:
+def maximal(left: list[float], right: list[float], at: list[int]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (weight, first token, last token), in linear time.
 
-    at: the tokens with a positive weight; every token between two of them costs `drift`.
+    Of each token with a positive weight, in order: the sum of all weights before it, that sum with it, and its place.
     """
-    found: list[list[float]] = []  # left sum, right sum, first, last
-    total, before = 0.0, -1
-    for p, w in zip(at, weight, strict=True):
-        if before >= 0:
-            total -= drift * (p - before - 1)
-        now = [total, total + w, p, p]
-        total, before = total + w, p
+    found: list[tuple[float, float, int, int]] = []  # left sum, right sum, first, last
+    for l, r, p in zip(left, right, at, strict=True):
+        now = (l, r, p, p)
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= now[0]:
@@ -78,9 +76,28 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
             if j < 0 or found[j][1] >= now[1]:
                 found.append(now)
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            now = (found[j][0], now[1], found[j][2], now[3])
             del found[j:]
-    return [(r - l, int(a), int(b)) for l, r, a, b in found]
+    return [(r - l, a, b) for l, r, a, b in found]
+
+
+def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[float, int, int]]:
+    """The same where every token between those of positive weight costs `drift`."""
+    inside = np.array([w + drift * (p - k) for k, (p, w) in enumerate(zip(at, weight, strict=True))])
+    paid = np.cumsum([0.0, *weight])
+    gaps = inside - np.array(weight)
+    return maximal((paid[:-1] - gaps).tolist(), (paid[1:] - gaps).tolist(), at)
+
+
+def log_odds(n1: np.ndarray, n0: np.ndarray, prior: float, doubt: float) -> np.ndarray:
+    """Weight of each token found in n1 toxic and n0 other documents."""
+    s1, s0 = float(n1.sum()), float(n0.sum())
+    if not s1 or not s0:
+        return np.zeros(len(n1))
+    a1, a0 = n1 + prior * s1 / (s1 + s0), n0 + prior * s0 / (s1 + s0)
+    odds = np.log(a1 / a1.sum()) - np.log(a0 / a0.sum())
+    z2 = odds**2 / (1 / a1 + 1 / a0)
+    return odds * z2 / (z2 + doubt**2)
 
 
 class Model:
@@ -96,10 +113,12 @@ class Model:
         if len(self.hashes) and len(t.hash):
             place = np.minimum(np.searchsorted(self.hashes, t.hash), len(self.hashes) - 1)
             weight = np.where(self.hashes[place] == t.hash, self.weights[place], 0.0)
+        weight -= self.drift
+        upto = np.concatenate([[0.0], np.cumsum(weight)])
         hot = np.flatnonzero(weight > 0)
-        bounds = np.searchsorted(hot, t.first)
-        at, value = hot.tolist(), weight[hot].tolist()
-        out = [segments(at[a:b], value[a:b], self.drift) if b > a else [] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        bounds = np.searchsorted(hot, t.first).tolist()
+        at, left, right = hot.tolist(), upto[hot].tolist(), upto[hot + 1].tolist()
+        out = [maximal(left[a:b], right[a:b], at[a:b]) if b > a else [] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return t, out, np.diff(t.first)
 
     def log_e(self, weight: float, n_tokens: int) -> float:
@@ -108,9 +127,7 @@ class Model:
 
     def statistic(self, segs: list[tuple[float, int, int]], n_tokens: int) -> float:
         """Evidence of the best segment, and of each further significant one, in nats beyond chance."""
-        if not segs:
-            return 0.0
-        logs = sorted(self.log_e(w, n_tokens) for w, _, _ in segs)
+        logs = sorted(self.log_e(w, n_tokens) for w, _, _ in segs) or [self.log_e(0.0, n_tokens)]
         return -logs[0] + sum(-x for x in logs[1:] if x < 0)
 
     def score_of(self, statistic: np.ndarray) -> np.ndarray:
@@ -120,27 +137,35 @@ class Model:
 
 
 def count_batches(batches):
-    """Documents of each label that hold a token, counted within batches; hash 0 counts the documents themselves."""
+    """Documents of each fold and label that hold a token, counted within batches."""
     for batch in batches:
-        texts, label = batch.column("text").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False)
+        texts, label, fold = batch.column("text").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
         for a, b in bpe.text_groups(texts):
             t = Tokens(texts[a:b])
             pair = np.unique(np.rec.fromarrays([t.text, t.hash], names="text,hash")) if len(t.hash) else np.rec.fromarrays([t.text, t.hash], names="text,hash")
-            toxic = label[a:b][pair["text"]] == 1
             keys, inverse = np.unique(pair["hash"], return_inverse=True)
-            one = np.bincount(inverse, weights=toxic, minlength=len(keys)).astype(np.int64)
-            all_ = np.bincount(inverse, minlength=len(keys)).astype(np.int64)
-            n1 = int((label[a:b] == 1).sum())
-            yield pa.record_batch([pa.array(np.append(keys.view(np.int64), 0)), pa.array(np.append(one, n1)), pa.array(np.append(all_ - one, b - a - n1))], names=["token", "n1", "n0"])
+            kind = 2 * fold[a:b][pair["text"]] + (label[a:b][pair["text"]] == 1)
+            n = np.bincount(inverse * 4 + kind, minlength=4 * len(keys)).reshape(-1, 4) if len(keys) else np.zeros((0, 4), dtype=np.int64)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in range(4))], names=["token", *COUNTS])
+
 
+#: Documents of label 0 and 1 in the first fold, then in the second.
+COUNTS = ("a0", "a1", "b0", "b1")
 
-def evidence_batches(batches, model: Model):
+
+def evidence_batches(batches, models: list[Model]):
+    """label, n, best, statistic of each document, by the weights of the other fold."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
         for a, b in bpe.text_groups(texts):
-            _, segs, n = model.found(texts[a:b])
-            best = [max((w for w, _, _ in s), default=0.0) for s in segs]
-            yield pa.record_batch([batch.column("label").slice(a, b - a), pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array([[w for w, _, _ in s] for s in segs], pa.list_(pa.float64()))], names=["label", "best", "n", "weights"])
+            best, size, told = np.zeros(b - a), np.zeros(b - a, dtype=np.int64), np.zeros(b - a)
+            for k, model in enumerate(models):
+                own = [i for i in range(b - a) if fold[a + i] != k]
+                _, segs, n = model.found([texts[a + i] for i in own])
+                best[own] = [max((w for w, _, _ in s), default=0.0) for s in segs]
+                size[own] = n
+                told[own] = [model.statistic(s, m) for s, m in zip(segs, n.tolist(), strict=True)]
+            yield pa.record_batch([batch.column("label").slice(a, b - a), pa.array(size), pa.array(best), pa.array(told)], names=["label", "n", "best", "statistic"])
 
 
 def score_batches(batches, model: Model):
@@ -156,55 +181,73 @@ def score_batches(batches, model: Model):
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(value, pa.float64()), pa.array(told, kind)], names=["doc_id", "score", "passages"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior: float = 50.0, drift: float = 0.05) -> Model:
-    chosen = runtime.written(labelled.sample(documents, labels, label, modulus, held).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["text_hash", "label"]), "toxicity-sample")
-    counts = chosen.mapInArrow(runtime.shipped("quillmill.llm.toxicity:count_batches"), "token long, n1 long, n0 long").groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    counts = runtime.written(counts, "toxicity-counts")
-    docs = counts.where("token = 0").agg(F.sum("n1"), F.sum("n0")).first()
-    d1, d0 = docs[0] or 0, docs[1] or 0
-    if not d1 or not d0:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, prior: float = 1.0, doubt: float = 6.0, drift: float = 0.2) -> Model:
+    chosen = labelled.sample(documents, labels, label, modulus, held).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["text_hash", "label"])
+    chosen = runtime.written(chosen.withColumn("fold", F.pmod("text_hash", F.lit(2)).cast("int")), "toxicity-sample")
+    docs = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    d1, d = docs.get(1, 0), sum(docs.values())
+    if not d1 or d1 == d:
         model = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), drift)
-        model.constant = d1 / (d1 + d0) if d1 + d0 else 0.0
+        model.constant = d1 / d if d else 0.0
+        runtime.discard(chosen)
         return model
-    sums = counts.where("token <> 0").agg(F.sum("n1"), F.sum("n0")).first()
-    s1, s0 = float(sums[0] or 0), float(sums[1] or 0)
-    mass = prior + 0.5 * counts.count()
-    share = (F.col("n1") + F.col("n0")) / (s1 + s0) * prior + 0.5
-    a1, a0 = F.col("n1") + share, F.col("n0") + share
-    odds = F.log(a1 / (s1 + mass - a1)) - F.log(a0 / (s0 + mass - a0))
-    weighed = counts.where("token <> 0").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    top = weighed.where(F.col("z") >= Z).orderBy(F.desc("z"), "token").limit(TOP_TOKENS).toArrow()
-    model = Model(top.column("token").to_numpy().view(np.uint64), top.column("odds").to_numpy(), drift)
-    seen = chosen.mapInArrow(runtime.shipped("quillmill.llm.toxicity:evidence_batches", model=model), "label int, best double, n long, weights array<double>").toArrow()  # bounded by the sample
-    y, best, n = (seen.column(c).to_numpy() for c in ("label", "best", "n"))
-    _calibrate(model, y, best, n, seen.column("weights").to_pylist())
+    counts = chosen.mapInArrow(runtime.shipped("quillmill.llm.toxicity:count_batches"), ", ".join(f"{c} long" for c in ("token", *COUNTS)))
+    counts = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()  # the tokens of the bounded sample
+    token = counts.column("token").to_numpy().view(np.uint64)
+    a0, a1, b0, b1 = (counts.column(c).to_numpy().astype(np.float64) for c in COUNTS)
+    of = lambda n1, n0: Model(token, log_odds(n1, n0, prior, doubt), drift)
+    model, halves = of(a1 + b1, a0 + b0), [of(a1, a0), of(b1, b0)]
+
+    def evidence():
+        told = chosen.mapInArrow(runtime.shipped("quillmill.llm.toxicity:evidence_batches", models=halves), "label int, n long, best double, statistic double").toArrow()
+        return (told.column(c).to_numpy() for c in ("label", "n", "best", "statistic"))
+
+    y, n, best, _ = evidence()
+    model.rate, model.log_k = extreme_value_law(best[y == 0], n[y == 0])
+    for half in halves:
+        half.rate, half.log_k = model.rate, model.log_k
+    y, _, _, statistic = evidence()
+    model.slope, model.shift = logistic(statistic, y)
+    runtime.discard(chosen)
     return model
 
 
-def _calibrate(model: Model, y: np.ndarray, best: np.ndarray, n: np.ndarray, weights: list[list[float]]) -> None:
-    """K and lambda by maximum likelihood over documents of label 0; then the logistic curve."""
-    null = y == 0
-    x, size = best[null], np.maximum(n[null], 1)
-    excess = x[x > 0]
-    # Beyond the smallest toxic weight the tail is exponential; most texts have no such segment at all.
-    model.rate = min(5.0, 1.0 / max(float((excess - excess.min()).mean()), 0.2)) if len(excess) > 1 else 1.0
-    hits = (np.exp(model.rate * excess.min()) * (len(excess) + 0.5) if len(excess) else 0.5) / size.sum()
-    model.log_k = float(math.log(hits))
-    s = np.array([model.statistic([(w, 0, 0) for w in ws], k) for ws, k in zip(weights, n.tolist(), strict=True)])
+def extreme_value_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and log K of P(best <= x) = exp(-K n exp(-lambda x)) by maximum likelihood; best is 0 where there is no segment."""
+    n, some = np.maximum(n, 1).astype(np.float64), best > 0
+    m = int(some.sum())
+    if m < 2:
+        return 1.0, math.log((m + 0.5) / n.sum()) if len(n) else 0.0
+
+    def likelihood(rate: float) -> float:
+        """With the K that is best for this lambda."""
+        return m * math.log(m / (n * np.exp(-rate * best)).sum()) + m * math.log(rate) - rate * best.sum()
+
+    rates = np.geomspace(0.01, 100, 200)
+    k = int(np.argmax([likelihood(x) for x in rates]))
+    fine = np.linspace(rates[max(k - 1, 0)], rates[min(k + 1, len(rates) - 1)], 200)
+    rate = float(fine[int(np.argmax([likelihood(x) for x in fine]))])
+    return rate, math.log(m / (n * np.exp(-rate * best)).sum())
+
+
+def logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the curve from statistics to the share of label 1, by Newton's method."""
+    scale = float(s.std()) or 1.0
+    s = s / scale
     a, b = 1.0, 0.0
     target = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    for _ in range(100):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
         w = p * (1 - p) + 1e-12
         g = np.array([((p - target) * s).sum() + 1e-3 * a, (p - target).sum()])
         h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-9]])
         step = np.linalg.solve(h, g)
-        size_ = np.abs(step).max()
-        step *= min(1.0, 1.0 / max(size_, 1e-12))
+        most = np.abs(step).max()
+        step *= min(1.0, 1.0 / max(most, 1e-12))
         a, b = a - step[0], b - step[1]
-        if size_ < 1e-9:
+        if most < 1e-9:
             break
-    model.slope, model.shift = max(float(a), 1e-6), float(b)
+    return max(float(a), 1e-6) / scale, float(b)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
