@@ -6,13 +6,14 @@
    the tasks before it.
 3. A keyed Feistel network over the smallest even number of bits that holds the count, with
    cycle-walking, maps the number to its global slot: a permutation that needs no state.
-4. Shard = slot div rows_per_shard. Rows go straight to the partition of their shard, are sorted
-   there, and each shard is written as one file of fixed stride: the row of a slot begins at
+4. Shard = slot div rows_per_shard. Rows go straight to the partition of their range of shards, are
+   sorted there, and each shard is written as one file of fixed stride: the row of a slot begins at
    (slot mod rows_per_shard) * stride * 2 bytes, so a reader resumes anywhere without an index.
 
-Sequences travel compressed, and `waves` ranges of slots are shuffled one after another, which
-bounds the disk that shuffle files take. Shard files are written under a name of their own and
-moved into place; a task that is run again writes the same bytes. The manifest comes last.
+Sequences travel compressed, and `waves` ranges of slots are shuffled one after another: each wave reads the
+spool once more, and takes 1 / `waves` of the disk for its shuffle files. A wave has at most ``LANES``
+partitions, of neighbouring shards. Shard files are written under a name of their own and moved into place;
+a task that is run again writes the same bytes. The manifest comes last, and the spool is deleted.
 
 Defined cases: a null or empty text gives its end id alone; an empty table gives a manifest of no
 sequences and an empty index; other columns are ignored; doc_ids of a sequence may repeat or be null.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from . import bpe, runtime
 
 SPOOL = "task int, number long, n_tokens int, doc_ids array<long>, ids binary"
+#: Partitions of a wave at most.
+LANES = 1 << 14
 INDEX = "slot long, shard int, row long, byte_offset long, n_tokens int, ids_crc32 long, doc_ids array<long>, path string"
 
 
@@ -107,7 +110,8 @@ def slots(index: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndarra
     return out.astype(np.int64)
 
 
-def slot_batches(batches, count: int, key: int, rows_per_shard: int, low: int, high: int):
+def slot_batches(batches, count: int, key: int, rows_per_shard: int, low: int, high: int, lanes: int):
+    """Rows of the shards from low to high - 1, with the lane of their shard."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3)
@@ -117,7 +121,7 @@ def slot_batches(batches, count: int, key: int, rows_per_shard: int, low: int, h
         chosen = np.flatnonzero((shard >= low) & (shard < high))
         part = batch.take(pa.array(chosen))
         blobs = [squeeze.compress(x.as_buffer()) for x in part.column("ids")]
-        yield pa.record_batch([pa.array(slot[chosen]), pa.array(shard[chosen] - low, pa.int32()), part.column("n_tokens"), part.column("doc_ids"), pa.array(blobs, pa.binary())], names=["slot", "lane", "n_tokens", "doc_ids", "blob"])
+        yield pa.record_batch([pa.array(slot[chosen]), pa.array((shard[chosen] - low) * lanes // (high - low), pa.int32()), part.column("n_tokens"), part.column("doc_ids"), pa.array(blobs, pa.binary())], names=["slot", "lane", "n_tokens", "doc_ids", "blob"])
 
 
 def shard_batches(batches, folder: str, stride: int, rows_per_shard: int):
@@ -173,14 +177,16 @@ def materialise(documents: DataFrame, path: str, folder: str | None = None, stri
     each = max(1, -(-n_shards // waves))
     for low in range(0, max(n_shards, 1), each):
         high = min(low + each, n_shards)
+        lanes = max(1, min(high - low, LANES))
         numbered = spool.join(bases, "task").select((F.col("base") + F.col("number")).alias("sequence"), "n_tokens", "doc_ids", "ids")
-        laid = numbered.mapInArrow(runtime.shipped("quillmill.llm.materialise:slot_batches", count=count, key=key, rows_per_shard=rows_per_shard, low=low, high=high), "slot long, lane int, n_tokens int, doc_ids array<long>, blob binary")
-        there = laid.repartitionById(max(1, high - low), F.col("lane")).sortWithinPartitions("slot")
+        laid = numbered.mapInArrow(runtime.shipped("quillmill.llm.materialise:slot_batches", count=count, key=key, rows_per_shard=rows_per_shard, low=low, high=high, lanes=lanes), "slot long, lane int, n_tokens int, doc_ids array<long>, blob binary")
+        there = laid.repartitionById(lanes, F.col("lane")).sortWithinPartitions("slot")
         part = runtime.written(there.mapInArrow(runtime.shipped("quillmill.llm.materialise:shard_batches", folder=folder, stride=stride, rows_per_shard=rows_per_shard), INDEX), "index")
         index = part if index is None else index.unionByName(part)
         del numbered, laid, there, part
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of this wave
+    runtime.discard(spool, bases)
     files, at = arrow_fs.FileSystem.from_uri(folder)
     files.create_dir(at, recursive=True)
     manifest = {"sequences": count, "stride": stride, "bytes_per_id": 2, "rows_per_shard": rows_per_shard, "shards": n_shards, "end": end, "key": key, "vocabulary_sha256": _sha256(path)}
