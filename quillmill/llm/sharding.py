@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 BUCKETS = 1024
+#: Rows of the table of bases (32 bytes each) that is broadcast at most; slots of one row that are made at once.
+BROADCAST_BASES, RUN = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -110,6 +112,12 @@ def place(documents: DataFrame, root: Node | None = None, more: Node | None = No
     per_bucket = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("held"))  # at most shards * BUCKETS rows
     base = per_bucket.select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = placed.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(base), ["shard", "bucket"])
-    each = F.explode(F.sequence(F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto") - 1))
-    return numbered.withColumn("slot", each).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    if sum(1 for _ in _shards(root)) * BUCKETS <= BROADCAST_BASES:
+        base = F.broadcast(base)
+    numbered = placed.withColumn("upto", F.sum("n").over(within)).join(base, ["shard", "bucket"])
+    first = F.col("base") + F.col("upto") - F.col("n")
+    numbered = numbered.select("doc_id", "size", "text_crc32", "shard", "grown_shard", first.alias("first"), "n")
+    # A row that is repeated often gets its slots run by run, so that no array is longer than RUN.
+    runs = numbered.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    each = F.sequence(F.col("first") + F.col("run"), F.col("first") + F.least(F.col("run") + RUN, F.col("n")) - 1)
+    return runs.withColumn("slot", F.explode(each)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
