@@ -6,7 +6,8 @@ and compared, without another pass over the texts. ``ablation`` counts, for each
 documents that it rejects, and those that it alone rejects, by bitwise sums over the ledger.
 
 Words are runs of anything but space and the ASCII controls 9 to 13; lines are split at line feeds.
-Measurements are exact up to collisions of 64-bit hashes of words and windows.
+Measurements are exact up to collisions of 64-bit hashes of words and windows. Letters are those of Unicode,
+capitals those of ASCII and Latin-1.
 
 Defined cases: a null or empty text has no words, measures 0 throughout, and fails the base; repeated
 rows and null ids are measured row by row; other columns are ignored; an empty table gives an empty ledger.
@@ -78,16 +79,27 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(text, weights=dup, minlength=n).astype(np.int64)
     out["n_lines"] = np.bincount(text, minlength=n)
     capital = (w.data >= 0x41) & (w.data <= 0x5A)
-    capital[1:] |= (w.data[:-1] == 0xC3) & (w.data[1:] >= 0x80) & (w.data[1:] <= 0x9E)
-    for name, flags in (("n_upper", capital), ("n_letters", _LETTER[w.data])):
+    capital[1:] |= (w.data[:-1] == 0xC3) & (w.data[1:] >= 0x80) & (w.data[1:] <= 0x9E) & (w.data[1:] != 0x97)
+    letter = _LETTER[w.data]
+    if (w.data >= 0x80).any():
+        at = np.flatnonzero(lead & (w.data >= 0x80))  # letters of other scripts, by their code points
+        letter[at] = bpe.classes()[_code_points(w.data, at)] == bpe.LETTER
+    for name, flags in (("n_upper", capital), ("n_letters", letter)):
         sums = np.concatenate([[0], np.cumsum(flags)])
         out[name] = sums[w.text_end] - sums[begin]
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-#: Bytes that begin a letter, near enough: ASCII letters and the lead bytes of all other scripts.
 _LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xF5)]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of two to four bytes that begin at these places."""
+    b = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    lead = data[at]
+    two, three = (b[0] & 0x1F) << 6 | b[1], (b[0] & 0x0F) << 12 | b[1] << 6 | b[2]
+    return np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3]))
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:

@@ -182,3 +182,167 @@ def test_index_survives_its_file():
     two = ann.Index.load(one.dump())
     for q in range(0, 500, 50):
         assert all(np.array_equal(a, b) for a, b in zip(one.search(q, x[q], 20), two.search(q, x[q], 20), strict=True))
+
+
+def test_toxicity_recall_and_ranking_on_held_out_rows(spark):
+    from pyspark.sql import functions as F
+
+    from quillmill.llm import labelled, toxicity
+
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(documents, toxicity.fit(documents, labels)).join(labels, "doc_id").where((labelled.fold(5) == 0) & F.col("toxic").isNotNull()).select("score", "toxic").collect()
+    score, toxic = np.array([r.score for r in rows]), np.array([r.toxic for r in rows]) == 1
+    wins = (score[toxic][:, None] > score[~toxic]).mean() + 0.5 * (score[toxic][:, None] == score[~toxic]).mean()
+    assert toxic.sum() > 50 and (score[toxic] >= 0.5).mean() > 0.88 and (score[~toxic] < 0.5).mean() > 0.98 and wins > 0.95
+
+
+def test_log_odds_keep_their_sign_and_prior():
+    from quillmill.llm import toxicity
+
+    w = toxicity.log_odds(np.array([50.0, 1, 20, 0, 0]), np.array([0.0, 400, 180, 0, 30]), 1.0, 2.0)
+    assert w[0] > 2 and w[1] < -1 and w[3] == pytest.approx(0) and w[4] < 0
+
+
+def test_extreme_value_law_is_found_again():
+    from quillmill.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 2000, 20000)
+    draws = (np.log(0.01 * n) - np.log(-np.log(rng.random(20000)))) / 1.7
+    rate, log_k = toxicity.extreme_value_law(np.maximum(draws, 0), n)
+    assert rate == pytest.approx(1.7, rel=0.03) and log_k == pytest.approx(np.log(0.01), abs=0.1)
+
+
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    texts = ["ab—“Ç”·ÀÞ×", "中文。😀x", "русский, ЯЗЫК", "ÅŽ ñ", "", "plain"]
+    m = rules.measure(texts)
+    assert m["n_letters"].tolist() == [sum(unicodedata.category(c)[0] == "L" for c in t) for t in texts]
+    assert m["n_upper"].tolist() == [sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in t) for t in texts]
+
+
+def draws(key, root):
+    """The shard of a key, by the hashes of the xxhash library."""
+    import math
+
+    import xxhash
+
+    node = root
+    while node.children:
+        best = None
+        for c in node.children:
+            h = xxhash.xxh64_intdigest(c.name.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+            best = min(best or (math.inf, None), (-math.log(((h >> 11) + 0.5) / 2**53) / c.weight, c), key=lambda x: x[0])
+        node = best[1]
+    return node.shard
+
+
+def weighted(changed=1.0):
+    from quillmill.llm.sharding import Node
+
+    n, regions = 0, []
+    for r in range(2):
+        racks = []
+        for k in range(2):
+            shards = []
+            for s in range(3):
+                shards.append(Node(f"{r}/{k}/{s}", shard=n, own_weight=(changed if (r, k, s) == (0, 1, 2) else 1.0 + s)))
+                n += 1
+            racks.append(Node(f"{r}/{k}", tuple(shards)))
+        regions.append(Node(str(r), tuple(racks)))
+    return Node("", tuple(regions))
+
+
+def test_sharding_by_independent_draws_and_changed_weights(spark):
+    from quillmill.llm import sharding
+
+    root, other = weighted(3.0), weighted(6.0)
+    keys = spark.range(-100, 6000).withColumnRenamed("id", "doc_id")
+    rows = sharding.with_shard(sharding.with_shard(keys, "doc_id", root, "shard"), "doc_id", other, "after").collect()
+    for r in rows[:800]:
+        assert r["shard"] == draws(r.doc_id, root) and r["after"] == draws(r.doc_id, other)
+    size = np.bincount([r["shard"] for r in rows], minlength=12) / len(rows)
+    assert np.abs(size - np.tile([1, 2, 3], 4) / 24).max() < 0.02
+    moved = [(r["shard"], r["after"]) for r in rows if r["shard"] != r["after"]]
+    region = lambda x: x // 6
+    assert moved and all(region(b) == 0 for a, b in moved if region(a) != region(b))  # only into the region that grew
+    assert all(b == 5 for a, b in moved if a // 3 == b // 3) and all(b // 3 == 1 for a, b in moved if region(a) == region(b) == 0)
+
+
+def test_slots_of_a_row_repeated_often(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillmill.llm import sharding
+
+    monkeypatch.setattr(sharding, "RUN", 7)
+    monkeypatch.setattr(sharding, "BROADCAST_BASES", 1)
+    rows = sharding.place(spark.range(100).select(F.lit(5).alias("doc_id"), F.lit("x").alias("text"))).collect()
+    assert sorted(r.slot for r in rows) == list(range(100)) and len({r.shard for r in rows}) == 1
+
+
+def test_quality_scores_are_gaussian_densities():
+    from quillmill.llm import quality
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((200, 3)) @ rng.standard_normal((3, 3)), rng.standard_normal((100, 3)) * 0.5 + 1])
+    y = np.repeat([0, 1], [200, 100])
+    model = quality.Discriminant(x, y, pooled=0.2, ridge=0.1)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    both = (200 * own[0] + 100 * own[1]) / 300
+    density = []
+    for k in (0, 1):
+        c = 0.8 * own[k] + 0.2 * both
+        c = 0.9 * c + 0.1 * np.trace(c) / 3 * np.eye(3) + 1e-6 * np.eye(3)
+        d = z - z[y == k].mean(0)
+        density.append(np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)) / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(c)) * (y == k).mean())
+    assert np.allclose(model.score(x), density[1] / (density[0] + density[1]))
+
+
+def test_shrinkage_of_a_singular_class():
+    from quillmill.llm import quality
+
+    x = np.random.default_rng(6).standard_normal((50, 4))
+    x[:25, 1:] = 0.0  # the first class has no spread in three of four directions
+    score = quality.Discriminant(x, np.repeat([1, 0], 25)).score(x)
+    assert np.isfinite(score).all() and (score[:25] > 0.5).all() and (score[25:] < 0.5).mean() > 0.8
+
+
+def greedy(lengths, size, linear, quadratic):
+    """Whole pieces in descending length, each to the cheapest sequence with room; as many sequences as the tokens fill."""
+    cost = lambda n: linear * n + quadratic * n * n
+    rest = sorted([(n % size, d) for d, n in lengths if n % size], key=lambda x: -x[0])
+    open_ = [[size, 0.0] for _ in range(sum(n for n, _ in rest) // size)]
+    out = {}
+    for n, d in rest:
+        fits = [(s[1], i) for i, s in enumerate(open_) if s[0] >= n]
+        if fits:
+            i = min(fits)[1]
+            out[d] = i
+            open_[i][0] -= n
+            open_[i][1] += cost(n)
+    return out
+
+
+def test_packing_is_the_greedy_one():
+    from quillmill.llm import packing
+
+    rnd = random.Random(9)
+    lengths = [(i, rnd.choice([rnd.randrange(1, 40), rnd.randrange(1, 400)])) for i in range(300)]
+    pieces = packing.Packer(100, 1.0, 0.01).pack(lengths, False)
+    first = sum(n // 100 for _, n in lengths)
+    want = greedy(lengths, 100, 1.0, 0.01)
+    whole = {d: s - first for d, start, n, s, _, _ in pieces if start == dict(lengths)[d] // 100 * 100 and n == dict(lengths)[d] % 100 and n}
+    assert want and all(whole[d] == i for d, i in want.items())
+
+
+def test_shards_of_few_lanes(spark, monkeypatch):
+    from quillmill.llm import materialise
+
+    monkeypatch.setattr(materialise, "LANES", 3)
+    documents = spark.createDataFrame([(i, f"text number {i} " * (i % 30)) for i in range(300)], "doc_id long, text string").repartition(5)
+    index, folder = materialise.materialise(documents, RANKS, stride=16, rows_per_shard=20)
+    rows = index.orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(len(rows))) and len({r.shard for r in rows}) > 20
+    assert len(list(materialise.read(folder))) == len(rows)
