@@ -1,23 +1,29 @@
 """Main text of web pages by composite text density.
 
 A page is parsed to a tree (unclosed and implied end tags as browsers treat them). Elements that are
-never content are left out: scripts, styles, forms, menus, footers, asides, and elements whose
-role, class or id names such a part (adverts, notices, sidebars, comments, ...). Inside an <article> or
-<main> headings are never judged by names, and ids only where a box's whole id is such a name. Text of
-formulas stays, without its annotations. For every other node
+never content are left out: scripts, styles, forms, menus, footers, asides, what is hidden, and boxes whose
+role, class or id is the name of such a part and nothing else (adverts, notices, sidebars, comments, ...; a name
+with any other word in it, as related-work, says nothing). Inside an <article> or <main> headings and
+sections are never judged by ids, which are made from titles. Text of formulas stays, without its annotations. For
+every other node
 
     density = C/T * log(C/LC * T/LT) / log(log(C/(C-LC) * LC + LCb/Cb * C + e))
 
-where C counts characters, T tags, LC characters in links, LT link tags, and b is the body (zero
-divisors count as 1). The sum of a node's children's densities finds the maximum-sum subtree; the least
-density on its path up to the body is the threshold: every subtree at or above it gives its own
-maximum-sum node. A node inside an <article> or <main> stands for that element.
+where C counts characters, T tags, LC characters in links, LT link tags, and b is the body (LC, LT, T and
+C-LC count as 1 at least). The sum of a node's children's densities finds the maximum-sum subtree; the least
+density on its path up to the body is the threshold. Other subtrees at or above it give their own maximum-sum
+nodes, which join the main text where they continue it: in an <article> or <main> if it is in one (one with a fifth of the maximum
+sum is preferred to any other node), or
+beside the maximum-sum subtree with the same tag and class, or as the heading before it. What lies elsewhere is dense text
+of other kinds, readers' comments above all. From the main text outside an <article> fall: lists and boxes
+that are mostly links, everything from a heading that announces comments to the end of its box, and copyright
+lines at the end.
 
 Text: character references decoded; white space inside a block becomes one space; blocks are joined,
 in page order, by two line feeds.
 
 Defined cases: null and empty html, and pages without text, give the empty string; markup of any
-length is parsed in linear time; repeated rows are extracted row by row; other columns are ignored.
+length and depth is parsed in linear time; repeated rows are extracted row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +45,9 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s>/]*)((?>(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*))(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.I)
+#: One attribute: its whole name, and its value in one of three forms.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_JUDGED = frozenset("class id role hidden aria-hidden style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -65,62 +75,149 @@ _BAD = re.compile(
     r"|sidebar|sidebars|rail|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|menu|menus|nav|navbar|navigation|topnav|breadcrumbs?|pagination|pager|footer|foot|masthead|topbar|toolbar"
     r"|widget|widgets|login|search|searchbox|skip|copyright|disclaimer|trending|popular|outbrain|taboola|header)$"
 )
+#: Words that may stand beside such a name without giving it another sense.
+_NEUTRAL = frozenset(
+    "area aside bar block body bottom box btn button buttons card cards center col column container content desktop div feed fixed form global grid group holder icons inline inner item items js large layout left legal link links list lower"
+    " main mobile module outer page panel primary region right row secondary section side site slot small sticky stories posts articles stack text top ui unit upper utility view wrap wrapper the by and to of in us new".split()
+)
 _GOOD = frozenset("article content main post entry story body text".split())
+#: Names that hold though a word for the article stands beside them.
+_SURE = re.compile(r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|newsletter|sidebars?|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|nav|navigation|footer|pagination)$")
+_COMMENTS = re.compile(r"\s*(?:\d+\s+(?:comments?|responses?|replies|kommentare?|comentarios?|commentaires?)|(?:reader |user |all |post a |add a |view )?comments?(?:\s*\(\d+\))?|leave a (?:reply|comment)|kommentare?|comentarios?|commentaires?)\s*:?\s*", re.I)
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)\s*\d|copyright\s*(?:©|\(c\)|\d{4}))|.*\b(?:all rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits réservés)\b", re.I | re.S)
+#: Of the maximum sum, the share from which the best <article> or <main> is preferred.
+_MARKED = 0.2
+#: Of the characters of a list or box, the share in links from which it is a menu; and its links at least.
+_MENU_SHARE, _MENU_LINKS = 0.7, 3
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "inside")
+    __slots__ = ("tag", "parent", "items", "host", "name")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, name: str = ""):
+        self.tag, self.parent, self.name = tag, parent, name
         self.items: list = []  # nodes and texts, in order
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        #: The nearest <article> or <main> around it.
+        self.host = None if parent is None else parent if parent.tag in ("article", "main") else parent.host
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes that are judged, of the first of each name."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        if (name := name.lower()) in _JUDGED:
+            out.setdefault(name, html.unescape(a or b or c).lower())
+    return out
+
+
+def _noise(name: str) -> bool:
+    """Whether a class or id is the name of a part that is no content."""
+    pieces = [p for p in re.split(r"[-_:.]+|(?<=[a-z])(?=\d)", name) if p and not p.isdigit()]
+    if not pieces or pieces[0] in ("has", "with", "no", "without", "is"):
+        return False
+    bad = [p for p in pieces if _BAD.match(p)]
+    if not bad or not all(p in _NEUTRAL or p in _GOOD or _BAD.match(p) for p in pieces):
+        return False
+    return pieces[0] in bad or not _GOOD.intersection(pieces) or any(_SURE.match(p) for p in bad)
 
 
-def _names_noise(tag: str, attributes: str, inside: bool) -> bool:
+def _names_noise(tag: str, found: dict[str, str], inside: bool) -> bool:
     """Whether role, class, id or state say that an element is no content."""
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
-    words: list[str] = []
-    found = _ATTRIBUTE.findall(attributes)
-    titled = inside and (tag not in _BOXES or any(name.lower() == "class" and "section" in (a or b or c).lower().split() for name, a, b, c in found))
-    for name, a, b, c in found:
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in _ROLES:
-            return True
-        if inside and tag in _HEADINGS or titled and name == "id":
-            continue
-        if name in ("class", "id"):
-            for part in value.split():
-                pieces = re.split(r"[-_:]+", part)
-                if pieces[0] in ("has", "with", "no", "without", "is", "js"):
-                    continue
-                bad = [p for p in pieces if _BAD.match(p)]
-                if inside and (bad == ["header"] or name == "id" and len(bad) < len(pieces)):
-                    continue
-                if bad and (pieces[0] in bad or not _GOOD.intersection(pieces)):
-                    words.append(part)
-    return bool(words)
+    classes = found.get("class", "").split()
+    if tag == "article":
+        return any(re.split(r"[-_]+", c)[0] in ("comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo") for c in classes)
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+        return True
+    if found.get("role") in _ROLES:
+        return True
+    if inside and tag in _HEADINGS:
+        return False
+    names = list(classes)
+    if not inside or tag in _BOXES and "section" not in classes:
+        names += found.get("id", "").split()
+    return any(_noise(x) and not (inside and x.rstrip("s") in ("header", "discussion", "notice", "alert") and tag not in _BOXES) and not (inside and x == "header") for x in names)
+
+
+class _Open:
+    """The stack of open elements; places of each tag and kind, so that no step searches it."""
+
+    def __init__(self, root: _Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.kinds: dict[str, list[int]] = {"scope": [], "block": [], "table": []}
+
+    def _of(self, tag: str):
+        yield self.places[tag]
+        if tag in _SCOPE:
+            yield self.kinds["scope"]
+        if tag not in _INLINE:
+            yield self.kinds["block"]
+        if tag in ("table", "td", "th"):
+            yield self.kinds["table"]
+
+    def push(self, node: _Node) -> None:
+        for x in self._of(node.tag):
+            x.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        while len(self.nodes) > k:
+            for x in self._of(self.nodes.pop().tag):
+                x.pop()
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places[tag] else 0
+
+    def kind(self, name: str) -> int:
+        return self.kinds[name][-1] if self.kinds[name] else 0
+
+    def end_p(self) -> None:
+        if (k := self.last("p")) > self.kind("scope"):
+            self.cut(k)
+
+    def end_siblings(self, tag: str) -> None:
+        same, until = _SIBLINGS[tag]
+        edge = max(self.last(x) for x in until)
+        found = [x[i] for t in same if (i := bisect_right(x := self.places[t], edge)) < len(x)]
+        if found:
+            self.cut(min(found))
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        edge = self.kind("block") if tag in _INLINE else self.kind("table") if tag in ("p", "li") else 0
+        if k and k >= edge:
+            self.cut(k)
 
 
 def parse(page: str) -> _Node:
     """The tree of a page, without elements that are never content."""
     root = _Node("body", None)
-    open_ = [root]
-    skip = 0  # open elements within one that is left out
-    skipped: list[str] = []
+    open_ = _Open(root)
+    skipped: list[str] = []  # open elements from one that is left out on
+    within: dict[str, int] = defaultdict(int)  # of each tag, how many of them
+
+    def drop() -> str:
+        tag = skipped.pop()
+        within[tag] -= 1
+        return tag
+
+    def skip(tag: str) -> None:
+        skipped.append(tag)
+        within[tag] += 1
+
     at, end = 0, len(page)
     find = _TOKEN.search
     while at < end:
         m = find(page, at)
         if m is None:
             if not skipped:
-                open_[-1].items.append(page[at:])
+                open_.nodes[-1].items.append(page[at:])
             break
         if m.start() > at and not skipped:
-            open_[-1].items.append(page[at : m.start()])
+            open_.nodes[-1].items.append(page[at : m.start()])
         at = m.end()
         closing, opening = m[1], m[2]
         if opening:
@@ -136,65 +233,45 @@ def parse(page: str) -> _Node:
             if skipped:
                 if tag not in _VOID and not (m[3] or "").endswith("/"):
                     if tag in _SIBLINGS and skipped[-1] in _SIBLINGS[tag][0] and len(skipped) > 1:
-                        skipped.pop()
+                        drop()
                     if tag == "p" and skipped[-1] == "p" and len(skipped) > 1:
-                        skipped.pop()
-                    skipped.append(tag)
+                        drop()
+                    skip(tag)
                 continue
             if tag in _MATH:
                 continue
             if tag in _CLOSES_P:
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag == "p":
-                        del open_[k:]
-                        break
-                    if open_[k].tag in _SCOPE:
-                        break
+                open_.end_p()
             if tag in _SIBLINGS:
-                same, until = _SIBLINGS[tag]
-                found = 0
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag in until:
-                        break
-                    if open_[k].tag in same:
-                        found = k
-                if found:
-                    del open_[found:]
-            elif tag[0] == "h" and len(tag) == 2 and tag[1] in "123456" and len(open_[-1].tag) == 2 and open_[-1].tag[0] == "h" and open_[-1].tag[1] in "123456":
-                open_.pop()
-            node = open_[-1]
-            inside = node.inside or node.tag in ("article", "main")
-            attributes = m[3] or ""
-            out = tag in _DROPPED or tag == "header" and not inside or (attributes and _names_noise(tag, attributes, inside))
-            if out:
+                open_.end_siblings(tag)
+            elif tag in _HEADINGS and open_.nodes[-1].tag in _HEADINGS and "hgroup" not in (tag, open_.nodes[-1].tag):
+                open_.cut(len(open_.nodes) - 1)
+            node = open_.nodes[-1]
+            inside = node.host is not None or node.tag in ("article", "main")
+            found = _attributes(m[3]) if m[3] else {}
+            if tag in _DROPPED or tag == "header" and not inside or found and _names_noise(tag, found, inside):
                 if tag not in _UNSHOWN:
                     node.items.append(None)  # a boundary
                 if tag not in _VOID:
-                    skipped.append(tag)
+                    skip(tag)
                 continue
-            child = _Node(tag, node)
+            child = _Node(tag, node, found.get("class", ""))
             node.items.append(child)
             if tag not in _VOID:
-                open_.append(child)
+                open_.push(child)
         elif closing:
             tag = closing.lower()
             if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
+                if within[tag]:
+                    while drop() != tag:
                         pass
                     continue
                 # the end of an element around it also ends what is left out
-                if tag in ("p", "b", "i", "a", "span", "em", "strong", "li") or not any(n.tag == tag for n in open_[1:]):
+                if tag in ("p", "b", "i", "a", "span", "em", "strong", "li") or not open_.last(tag):
                     continue
-                skipped.clear()
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                if tag in _INLINE and open_[k].tag not in _INLINE:
-                    break
-                if tag in ("p", "li") and open_[k].tag in ("table", "td", "th"):
-                    break
+                while skipped:
+                    drop()
+            open_.end(tag)
     return root
 
 
@@ -222,20 +299,21 @@ def _measure(root: _Node) -> list[tuple[_Node, int, int, int, int]]:
     return out
 
 
-def _chosen(root: _Node) -> list[_Node]:
-    """The subtrees that hold the main text, in page order."""
+def _chosen(root: _Node) -> tuple[list[_Node], set[int]]:
+    """The subtrees that hold the main text, in page order; and parts of them that are menus."""
     measured = _measure(root)
     total, links = max(measured[-1][1], 1), measured[-1][3]
     density: dict[int, float] = {}
+    menus: set[int] = set()
     for n, c, t, lc, lt in measured:
         if not c:
             density[id(n)] = 0.0
             continue
-        t = t or 1
-        base = math.log(c / ((c - lc) or 1) * lc + links / total * c + math.e)
-        density[id(n)] = c / t * (math.log(max(c / (lc or 1) * t / (lt or 1), 1e-9)) / math.log(base) if base > 1.0000001 else math.log(max(c / (lc or 1) * t / (lt or 1), 1e-9)) / 1e-7)
-        if base <= 1.0 + 1e-9 or not lc and not links:
-            density[id(n)] = c / t * math.log(max(c * t, 1) + 1)
+        if n.tag not in _INLINE and lt >= _MENU_LINKS and lc >= _MENU_SHARE * c and n.host is None and n is not root:
+            menus.add(id(n))
+        t, lc_, lt_ = max(t, 1), max(lc, 1), max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc_ + links / total * c + math.e)
+        density[id(n)] = c / t * math.log(max(c / lc_ * t / lt_, 1.0)) / math.log(base)
     sums: dict[int, float] = {}
     best_in: dict[int, _Node] = {}
     for n, *_ in measured:
@@ -248,63 +326,75 @@ def _chosen(root: _Node) -> list[_Node]:
                 best = best_in[id(x)]
         best_in[id(n)] = best
     top = best_in[id(root)]
+    while top.tag in _INLINE and top.parent is not None:
+        top = top.parent
     threshold, up = density[id(top)], top
     while up is not None:
         threshold, up = min(threshold, density[id(up)]), up.parent
-    marked: list[_Node] = []
-
-    def widened(n: _Node) -> _Node:
-        if n.inside:
-            while n.tag not in ("article", "main"):
-                n = n.parent
-        return n
-
-    stack = [root]
-    while stack:
-        n = stack.pop()
-        if n.tag in _INLINE:
-            continue
-        if density[id(n)] >= threshold and density[id(n)] > 0:
-            marked.append(widened(best_in[id(n)]))
-        stack.extend(x for x in reversed(n.items) if isinstance(x, _Node))
-    marked.append(widened(top))
-    keep = {id(n): n for n in marked}
-
-    def covered(n: _Node) -> bool:
+    whole = lambda n: n if n.tag in ("article", "main") else n.host or n
+    marked = max((n for n, *_ in measured if n.tag in ("article", "main")), key=lambda n: sums[id(best_in[id(n)])], default=None)
+    if marked is not None and whole(top).tag not in ("article", "main") and sums[id(best_in[id(marked)])] >= _MARKED * sums[id(top)]:
+        top = marked
+    top = whole(top)
+    keep = {id(top)}
+    hosted = top.tag in ("article", "main")
+    for n, *_ in measured:
+        if n.tag not in _INLINE and density[id(n)] >= threshold and density[id(n)] > 0:
+            near = whole(best_in[id(n)])
+            if hosted and near.tag in ("article", "main") or not hosted and near.parent is top.parent and (near.tag, near.name) == (top.tag, top.name):
+                keep.add(id(near))
+    # The heading right before the main text, at any height.
+    n = top
+    while n.parent is not None:
+        place = next(i for i, x in enumerate(n.parent.items) if x is n)
+        before = next((x for x in reversed(n.parent.items[:place]) if isinstance(x, _Node) and (x.items or x.tag in _HEADINGS) or isinstance(x, str) and x.strip()), None)
+        if isinstance(before, _Node):
+            if before.tag in ("h1", "h2") and id(before) not in menus:
+                keep.add(id(before))
+            break
+        if before is not None:
+            break
         n = n.parent
-        while n is not None:
-            if id(n) in keep:
-                return True
-            n = n.parent
-        return False
-
-    kept = {i for i, n in keep.items() if not covered(n)}
     out, stack = [], [root]
     while stack:
         n = stack.pop()
-        if id(n) in kept:
+        if id(n) in keep:
             out.append(n)
         else:
             stack.extend(x for x in reversed(n.items) if isinstance(x, _Node))
-    return out
+    return out, menus
+
+
+def _words(n: _Node, most: int = 60) -> str:
+    """The text of a node up to about `most` characters."""
+    out, size, stack = [], 0, [n]
+    while stack and size <= most:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            size += len(x)
+        elif x is not None:
+            stack.extend(reversed(x.items))
+    return html.unescape("".join(out))
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool]] = []  # text, whether in an <article> or <main>
     run: list[str] = []
 
-    def flush() -> None:
+    def flush(inside: bool) -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                blocks.append(text)
+                blocks.append((text, inside))
             run.clear()
 
-    for top in _chosen(parse(page)):
-        flush()
+    chosen, menus = _chosen(parse(page))
+    for top in chosen:
+        inside = top.host is not None or top.tag in ("article", "main")
         stack: list = [iter(top.items)]
         tags = [top.tag]
         while stack:
@@ -312,22 +402,29 @@ def extract(page: str | None) -> str:
             if x == 0 and not isinstance(x, str):
                 stack.pop()
                 if tags.pop() not in _INLINE:
-                    flush()
+                    flush(inside)
             elif isinstance(x, _Node):
                 if x.tag in ("br", "img", "wbr"):
                     if x.tag == "br":
                         run.append(" ")
                     continue
                 if x.tag not in _INLINE:
-                    flush()
+                    flush(inside)
+                if not inside and id(x) in menus:
+                    continue
+                if not inside and x.tag in _HEADINGS and _COMMENTS.fullmatch(_words(x)):
+                    stack[-1] = iter(())  # the rest of the box
+                    continue
                 stack.append(iter(x.items))
                 tags.append(x.tag)
             elif x is None:
-                flush()
+                flush(inside)
             else:
                 run.append(x)
-        flush()
-    return "\n\n".join(blocks)
+        flush(inside)
+    while blocks and not blocks[-1][1] and len(blocks[-1][0]) < 300 and _RIGHTS.match(blocks[-1][0]):
+        blocks.pop()
+    return "\n\n".join(text for text, _ in blocks)
 
 
 def text_batches(batches):
