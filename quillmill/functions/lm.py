@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def _warm(step: Column, top: float, warmup: int) -> Column:
     return top * step / max(warmup, 1)
@@ -76,6 +78,43 @@ def in_top_p(probability: Column, by: str, tie: str, p: float) -> Column:
     return F.sum(probability).over(w) - probability <= p
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def softmax_of(logits: Column) -> Column:
+    """Of an array, without a shuffle."""
+    shifted = bound(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v - top)))
+    return bound(shifted, lambda e: bound(_sum(e), lambda s: F.transform(e, lambda v: v / s)))
+
+
+def log_softmax_of(logits: Column) -> Column:
+    top = F.array_max(logits)
+    return bound(F.log(_sum(F.transform(logits, lambda v: F.exp(v - top)))) + top, lambda norm: F.transform(logits, lambda v: v - norm))
+
+
+def top_k_of(logits: Column, k: int) -> Column:
+    """(token, logit) of the logits that are at least the k-th largest: ties stay."""
+    least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
+    all_ = F.transform(logits, lambda v, i: F.struct(i.alias("token"), v.alias("logit")))
+    return bound(least, lambda t: F.filter(all_, lambda x: x["logit"] >= t))
+
+
+def top_p_of(probabilities: Column, p: float) -> Column:
+    """(token, p) of those before which, in descending order, at most p is summed."""
+    ranked = F.array_sort(F.transform(probabilities, lambda v, i: F.struct((-v).alias("minus"), i.alias("token"))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    count = lambda r: F.aggregate(r, start, lambda s, x: F.when(s["sum"] <= p, F.struct((s["sum"] - x["minus"]).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
+    return bound(ranked, lambda r: F.transform(F.slice(r, F.lit(1), count(r)), lambda x: F.struct(x["token"].alias("token"), (-x["minus"]).alias("p"))))
+
+
+def drawn(probabilities: Column, uniform: Column) -> Column:
+    """The token that a uniform number in [0, 1) draws by the inverse cumulative distribution; the last one where rounding leaves none."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["n"] + F.when(s["sum"] + v <= uniform, 1).otherwise(0)).alias("n"))
+    return F.aggregate(probabilities, start, step, lambda s: F.least(s["n"], F.size(probabilities) - 1))
+
+
 def _dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 

@@ -44,10 +44,28 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(StringType())
 def casefolded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Full case folding, which Spark's lower() is not."""
     for s in batches:
         yield s.map(lambda t: None if t is None else t.casefold())
 
 
+def fresh(df, *names: str) -> list[str]:
+    """The names, lengthened where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with a costly value made once, within one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
 
@@ -104,15 +122,17 @@ def truncate(c: Column, most: int) -> Column:
 def clean(df, column: str = "text", options: CleanOptions = CleanOptions(), into: str = "clean", keep_length: str | None = None):
     """df with the cleaned text, null where the text is null or too short before or after cleaning.
 
-    The scrubbed text is made once.
+    The scrubbed text is made once. A column that is named `into` already is replaced; others stay, whatever their names.
     """
+    whole = df.drop(into) if into != column else df
+    scrubbed, = fresh(whole, "_scrubbed")
     raw = F.when(F.length(column) >= options.min_length, scrub(F.col(column), options))
-    df = once(df, raw, "_scrubbed")
-    kept = F.length("_scrubbed") >= options.min_length
-    df = once(df, F.when(kept, truncate(F.col("_scrubbed"), options.max_length)), into)
+    out = once(whole, raw, scrubbed)
+    kept = F.length(scrubbed) >= options.min_length
+    out = once(out, F.when(kept, truncate(F.col(scrubbed), options.max_length)), into)
     if keep_length:
-        df = df.withColumn(keep_length, F.length("_scrubbed"))
-    return df.drop("_scrubbed")
+        out = out.withColumn(keep_length, F.length(scrubbed))
+    return out.drop(scrubbed)
 
 
 def chunks(c: Column, size: int, overlap: int = 0, least: int = 1) -> Column:
@@ -146,8 +166,8 @@ def chunks(c: Column, size: int, overlap: int = 0, least: int = 1) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """White space runs to one space, stripped, lower case, sharp s as two letters."""
-    return F.replace(F.lower(F.btrim(F.regexp_replace(c, f"[{WS}]+", " "))), F.lit("ß"), F.lit("ss"))
+    """White space runs to one space, stripped, case folded."""
+    return casefolded(F.btrim(F.regexp_replace(c, f"[{WS}]+", " ")))
 
 
 def fingerprint(c: Column) -> Column:

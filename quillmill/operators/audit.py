@@ -1,4 +1,8 @@
-"""Audit of a corpus: inventory, lengths, histograms, duplicates across splits, provenance."""
+"""Audit of a corpus: inventory, lengths, histograms, duplicates across splits, provenance.
+
+Defined cases: null values are no values; groups without values have null statistics; an empty table gives
+empty tables, or one row of zeros and nulls where one row is told; equal rows count as often as they are there.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,17 @@ from ..functions import text as T
 EDGES = (0, 100, 500, 1000, 5000, 10_000, 50_000, 100_000)
 
 
-def percentile(values: Column, share: float) -> Column:
-    """The value at index min(n - 1, int(share * n)) of the sorted values: no interpolation.
+def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """by, and of each share the value at index min(n - 1, int(share * n)) of the sorted values: no interpolation.
 
-    values: a collected array; see percentiles() for groups without a bound.
+    For groups of any size: values are counted first, and ranks found by running sums over distinct values.
     """
-    n = F.size(values)
-    return F.get(F.array_sort(values), F.least(n - 1, F.floor(F.lit(share) * n).cast("int")))
-
-
-def percentiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
-    """The same for groups of any size: values are counted first, and ranks found by running sums over distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    n, upto, whole = T.fresh(df, "_n", "_upto", "_all")
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias(n))
     w = Window.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(w))
-    at = lambda s: F.least(F.col("_all") - 1, F.floor(F.lit(s) * F.col("_all")))
-    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > at(s), F.col(column))).alias(name) for name, s in shares.items()])
+    ranked = counts.withColumn(upto, F.sum(n).over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))).withColumn(whole, F.sum(n).over(w))
+    at = lambda s: F.least(F.col(whole) - 1, F.floor(F.lit(s) * F.col(whole)))
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col(upto) > at(s), F.col(column))).alias(name) for name, s in shares.items()])
 
 
 def modal(df: DataFrame, by: str, column: str) -> DataFrame:
@@ -53,7 +51,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 def across_splits(df: DataFrame, key: Column) -> DataFrame:
     """key, its number of rows, and the shards of either split, for keys found in both; null and empty keys don't count."""
-    rows = df.select(key.alias("key"), "shard", "split").where("key is not null and key <> ''")
+    rows = df.select(key.cast("string").alias("key"), "shard", "split").where("key is not null and key <> ''")
     of = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("split") == s, F.col("shard")))), ", ")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), of("train").alias("train_shards"), of("validation").alias("validation_shards"))
     return groups.where("train_shards <> '' and validation_shards <> ''")

@@ -2,6 +2,10 @@
 
 A corpus frame has `shard`, `doc_id` (the order inside a shard) and `text`. Whatever depends on the
 order carries it as columns (shard_pos, doc_id); nothing relies on the order of partitions.
+
+Defined cases, of all operators here: rows that tie in the order follow a hash of their other columns, so that
+only equal rows can change places; null ids come first; an empty table gives an empty table, except that a
+split needs two shards at least (ValueError); helper columns take names that the table does not have.
 """
 
 from __future__ import annotations
@@ -11,7 +15,10 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fresh
 
+#: Ranges of ids, within which running sums are made by one task.
+RANGES = 4096
 #: Rows of a shard table (about 100 bytes each) that are broadcast at most.
 BROADCAST_SHARDS = 100_000
 
@@ -54,24 +61,51 @@ def seen(corpus: DataFrame) -> DataFrame:
     return corpus.where("text is not null and text <> ''")
 
 
+def tie(df: DataFrame, *but: str) -> Column:
+    """A hash of a row's other columns, for an order among rows that tie."""
+    plain = [c for c, kind in df.dtypes if c not in but and "map<" not in kind and kind != "variant"]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0)
+
+
 def first_per_shard(corpus: DataFrame, most: int) -> DataFrame:
     """The first documents seen of each shard; WindowGroupLimit cuts before the shuffle."""
-    order = Window.partitionBy("shard").orderBy("doc_id")
+    order = Window.partitionBy("shard").orderBy("doc_id", tie(corpus, "shard", "doc_id"))
     return corpus.withColumn("rank_in_shard", F.row_number().over(order)).where(F.col("rank_in_shard") <= most)
 
 
+def running(df: DataFrame, by: list[str], order: str, value: str | None, into: str, least: bool = False) -> DataFrame:
+    """`into`: sum (or least) of `value` over the rows before, by `order` within `by`; the number of rows before if value is None.
+
+    Two levels: RANGES equal ranges between the least and the greatest value of `order` (whole numbers), whose totals
+    are added up first, and a window within each range, so that no group is sorted by one task. Sums
+    begin at 0, the least at null. df is read twice: pass a table that is cheap to read.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = ((high - low) // RANGES + 1) if high is not None else 1
+    part, base, one, inside = fresh(df, "_range", "_base", "_one", "_inside")
+    df = df.withColumn(part, F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(-1)))
+    rows = df.withColumn(one, F.lit(1)) if value is None else df
+    total, nothing = (F.min, F.lit(None)) if least else (F.sum, F.lit(0))
+    value = value or one
+    above = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*by, part).agg(total(value).alias(base)).withColumn(base, total(base).over(above))
+    before = Window.partitionBy(*by, part).orderBy(order, tie(df, order, part, *by)).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(inside, total(value).over(before)).join(bases, [*by, part])
+    both = F.least(inside, base) if least else F.coalesce(inside, nothing) + F.coalesce(base, nothing)
+    return out.withColumn(into, both).drop(part, base, one, inside)
+
+
 def before_in_order(df: DataFrame, value: str, within: list[str], into: str) -> DataFrame:
-    """Sum of `value` over the rows before, in order (shard_pos, doc_id), inside `within`: two-level prefix sums.
+    """Sum of `value` over the rows before, in order (shard_pos, doc_id), inside `within`: prefix sums in three levels.
 
-    The window runs inside shards; shard totals (one row a shard) give the bases.
+    Ranges of a shard come from running(); shard totals (one row a shard) give the bases.
     """
     keys = [*within, "shard_pos"]
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    inside, base = fresh(df, "_in_shard", "_shards")
     above = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, F.coalesce(F.sum("_total").over(above), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    summed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(bases, keys).withColumn(into, F.col("_inside") + F.col("_base")).drop("_inside", "_base")
+    bases = df.groupBy(*keys).agg(F.sum(value).alias(base)).withColumn(base, F.sum(base).over(above))
+    summed = running(df, keys, "doc_id", value, inside)
+    return summed.join(bases, keys).withColumn(into, F.col(inside) + F.coalesce(base, F.lit(0))).drop(inside, base)
 
 
 def within_budget(tokens: DataFrame, budget: int) -> DataFrame:
@@ -119,6 +153,11 @@ def ids_in_range(ids: Column, least: int = 0, most: int = 65535) -> Column:
     return F.when(F.forall(ids, lambda i: (i >= least) & (i <= most)), ids).otherwise(F.raise_error(F.lit("an id does not fit 16 bits")))
 
 
+def encoded_or_skipped(df: DataFrame, ids: Column, into: str = "ids") -> DataFrame:
+    """The rows whose tokens were made: null (an encoder that failed) and empty ids are left out, as a stream does; binaries keep a lone end id instead."""
+    return df.withColumn(into, ids).where(F.col(into).isNotNull() & (F.size(into) > 0))
+
+
 def windows(ids: Column, size: int, step: int) -> Column:
     """Windows of up to size + 1 ids at every `step`, of two ids at least."""
     n = F.size(ids)
@@ -161,7 +200,7 @@ def buffer_shuffled(items: DataFrame, key: str, buffer: int, seed: int) -> DataF
     if buffer <= 1:
         return items.withColumn("position", F.col(key))
     group = F.floor(F.col(key) / buffer)
-    order = Window.partitionBy(group).orderBy(hash_order(F.lit(seed), F.col(key)))
+    order = Window.partitionBy(group).orderBy(hash_order(F.lit(seed), F.col(key)), tie(items, key))
     return items.withColumn("position", group * buffer + F.row_number().over(order) - 1)
 
 
@@ -169,6 +208,6 @@ def batches(items: DataFrame, size: int, drop_last: bool) -> DataFrame:
     """Rows with `batch` by position; drop_last leaves out a batch that isn't full."""
     out = items.withColumn("batch", F.floor(F.col("position") / size))
     if drop_last:
-        full = out.groupBy("batch").agg(F.count("*").alias("_n")).where(F.col("_n") == size).select("batch")
+        full = out.groupBy("batch").agg(F.count("*").alias("rows_")).where(F.col("rows_") == size).select("batch")
         out = out.join(full, "batch", "left_semi")
     return out

@@ -41,7 +41,7 @@ def _cut(x: str, most: int) -> str:
 
 
 _CLEAN = f"""scrubbed AS (SELECT *, CASE WHEN length(text) >= 100 THEN {_scrub('text')} END AS scrub FROM documents),
- cleaned AS (SELECT *, length(scrub) AS scrubbed_length, CASE WHEN length(scrub) >= 100 THEN {_cut('scrub', 5000)} END AS clean FROM scrubbed JOIN {_SHARDS} ON scrubbed.source = s.shard)"""
+ cleaned AS (SELECT *, length(scrub) AS scrubbed_length, CASE WHEN length(scrub) >= 100 THEN {_cut('scrub', 100_000)} END AS clean FROM scrubbed JOIN {_SHARDS} ON scrubbed.source = s.shard)"""
 _IDS = lambda x: f"list_transform(list_filter(regexp_split_to_array({x}, '[ \\n\\t\\r]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 31997 + 3)"
 _TOKENS = f"{_CLEAN}, tokens AS (SELECT *, len(ids) AS n_tokens FROM (SELECT split, shard, shard_pos, doc_id, list_append({_IDS('clean')}, 2) AS ids FROM cleaned WHERE text <> '' AND clean IS NOT NULL))"
 _JOIN = lambda x: f"array_to_string({x}, ' ')"
@@ -73,10 +73,10 @@ def _windows(size: int, step: int) -> str:
  SELECT doc_id, (s // {step})::INT AS "window", len(ids[s + 1 : s + {size} + 1])::INT AS n, md5({_JOIN(f'ids[s + 1 : s + {size} + 1]')}) AS ids_md5 FROM w"""
 
 
-def _histogram(x: str) -> str:
+def _histogram(x: str, source: str = "documents") -> str:
     edges = [0, 100, 500, 1000, 5000, 10_000, 50_000, 100_000]
     bins = ", ".join(f"({a}, {b if b else 'NULL'})" for a, b in zip(edges, [*edges[1:], None], strict=True))
-    return f"SELECT b.low::BIGINT AS low, coalesce(b.high, -1)::BIGINT AS high, count(d.x) AS n FROM (VALUES {bins}) b(low, high) LEFT JOIN (SELECT {x} AS x FROM documents) d ON d.x >= b.low AND (b.high IS NULL OR d.x < b.high) GROUP BY 1, 2"
+    return f"SELECT b.low::BIGINT AS low, coalesce(b.high, -1)::BIGINT AS high, count(d.x) AS n FROM (VALUES {bins}) b(low, high) LEFT JOIN (SELECT {x} AS x FROM {source}) d ON d.x >= b.low AND (b.high IS NULL OR d.x < b.high) GROUP BY 1, 2"
 
 
 def _across(key: str, source: str) -> str:
@@ -85,8 +85,10 @@ def _across(key: str, source: str) -> str:
 
 
 _DOCS = f"(SELECT d.*, s.* FROM documents d JOIN {_SHARDS} ON d.source = s.shard)"
-_LOGITS = "logits AS (SELECT vec_id, (unnest(range(len(embedding))))::INT AS token, unnest(list_transform(embedding, lambda x: round(x::DOUBLE * 10, 4))) AS logit FROM embeddings WHERE vec_id < 200)"
-_VEC = "vec AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE vec_id < 200)"
+_PAGE_ORDER = "p3 p4 p6 p7 p2 p5 p0 p1".split()
+_PAGES = "(SELECT p.url, s.* FROM pages p JOIN (VALUES " + ", ".join(f"('{s}', '{'validation' if i == 0 else 'train'}')" for i, s in enumerate(_PAGE_ORDER)) + ") AS s(shard, split) ON 'p' || p.page_id % 8 = s.shard)"
+_LOGITS = "logits AS (SELECT vec_id, (unnest(range(len(embedding))))::INT AS token, unnest(list_transform(embedding, lambda x: round(x::DOUBLE * 10, 4))) AS logit FROM embeddings)"
+_VEC = "vec AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
 _CE = "CASE WHEN label <> -1 THEN ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1] END"
 
 
@@ -116,7 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_overlap": _chunk(250),
         "conversation_paragraphs": f"WITH {_CONV}, p AS (SELECT conv_id, unnest(range(len(string_split(text, chr(10) || chr(10)))))::INT AS position, {_strip('unnest(string_split(text, chr(10) || chr(10)))')} AS text FROM conv) SELECT * FROM p WHERE text <> ''",
         "shard_split": f"SELECT * FROM {_SHARDS}",
-        "estimated_documents": "SELECT sum(least(n, 40))::BIGINT AS estimate FROM (SELECT count(*) AS n FROM documents GROUP BY source)",
+        "estimated_documents": "SELECT count(*) AS estimate FROM documents",
         "worker_files": f"SELECT shard_pos % 4 AS worker, split, count(DISTINCT shard) AS shards, count(*) AS documents FROM {_DOCS} GROUP BY ALL",
         "shard_inventory": f"""WITH d AS (SELECT x.*, l.quality FROM {_DOCS} x LEFT JOIN labels l USING (doc_id)), m AS (SELECT shard, lang, row_number() OVER (PARTITION BY shard ORDER BY count(*) DESC, lang) AS r FROM d GROUP BY shard, lang)
  SELECT d.split, d.shard, count(*) AS documents, sum(n_chars)::BIGINT AS token_sum, count_if(text IS NULL)::BIGINT AS null_texts, count_if(quality IS NULL)::BIGINT AS null_scores, median(n_chars)::DOUBLE AS median_chars, {_percentile('n_chars', 0.05)} AS p05_chars, {_percentile('n_chars', 0.95)} AS p95_chars, any_value(m.lang) AS lang FROM d JOIN m ON m.shard = d.shard AND m.r = 1 GROUP BY d.split, d.shard""",
@@ -126,20 +128,25 @@ def oracle_sql() -> dict[str, str]:
  q AS (SELECT c.shard, c.cluster, pick, doc_id, row_number() OVER (PARTITION BY c.shard, c.cluster ORDER BY {_hash('seed', 'c.cluster', 'row_index')}) AS draw FROM c JOIN p ON p.shard = c.shard AND p.cluster = c.cluster AND pick <= 3)
  SELECT shard, cluster, pick, draw, doc_id FROM q WHERE draw <= 2 + (pick <= 1)::INT""",
         "shard_seeds": "SELECT DISTINCT source AS shard, 42 + ('0x' || substr(sha256(source), 1, 8))::BIGINT AS seed FROM documents",
-        "length_stats": f"{clean} SELECT count(text) AS texts, count_if(length(text) < 100)::BIGINT AS below_min, count_if(clean IS NULL)::BIGINT AS filtered, count_if(scrubbed_length > 5000)::BIGINT AS would_truncate, count_if(strlen(replace(text, chr(10), ' ')) > 4192)::BIGINT AS over_byte_limit, median(length(text))::DOUBLE AS median_chars, {_percentile('length(text)', 0.95)} AS p95_chars FROM cleaned",
+        "length_stats": f"{clean} SELECT count(text) AS texts, count_if(length(text) < 100)::BIGINT AS below_min, count_if(clean IS NULL)::BIGINT AS filtered, count_if(scrubbed_length > 100000)::BIGINT AS would_truncate, count_if(strlen(replace(text, chr(10), ' ')) > 4192)::BIGINT AS over_byte_limit, median(length(text))::DOUBLE AS median_chars, {_percentile('length(text)', 0.95)} AS p95_chars FROM cleaned",
         "histogram_chars": _histogram("length(text)"),
         "histogram_bytes": _histogram("strlen(text)"),
         "split_summary": f"SELECT split, count(DISTINCT shard) AS shards, count(*) AS documents, sum(n_chars)::BIGINT AS token_sum, median(n_chars)::DOUBLE AS median_chars FROM {_DOCS} GROUP BY split",
         "cross_split_duplicates": f"{clean}, f AS (SELECT sha256({_NORMAL('clean')}) AS k, shard, split FROM cleaned WHERE clean IS NOT NULL) {_across('k', 'f')}",
-        "cross_split_ids": _across("lang", _DOCS),
+        "cross_split_ids": _across("doc_id::VARCHAR", _DOCS),
+        "cross_split_languages": _across("lang", _DOCS),
+        "cross_split_urls": _across("url", _PAGES),
+        "cross_split_hosts": _across("regexp_extract(url, '^[a-z]+://([^/]+)', 1)", _PAGES),
+        "histogram_tokens": f"{tokens} {_histogram('n_tokens', 'tokens')}",
+        "multinomial_draw": f"WITH {_LOGITS}, p AS (SELECT vec_id, token, sum(exp(logit)) OVER (PARTITION BY vec_id ORDER BY token) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS upto FROM logits) SELECT vec_id, least(count_if(upto <= (vec_id * 7919 % 10007 + 0.5) / 10007), count(*) - 1)::INT AS token FROM p GROUP BY vec_id",
         "audit_summary": f"{clean} SELECT count(*) AS documents, count(DISTINCT shard) AS shards, sum(n_chars)::BIGINT AS token_sum, count(clean) AS kept, count(DISTINCT {_NORMAL('clean')}) AS distinct_texts FROM cleaned",
-        "tokenizer_provenance": f"""{clean}, r AS (SELECT *, row_number() OVER (ORDER BY split DESC, shard_pos, doc_id) AS rank FROM cleaned WHERE clean IS NOT NULL), a AS (SELECT * FROM r WHERE rank <= 300)
+        "tokenizer_provenance": f"""{clean}, r AS (SELECT *, row_number() OVER (ORDER BY split DESC, shard_pos, doc_id) AS rank FROM cleaned WHERE clean IS NOT NULL), a AS (SELECT * FROM r WHERE rank <= 2000000)
  SELECT s.shard, s.split, count(a.doc_id) AS accepted, coalesce(count_if(strlen(replace(a.clean, chr(10), ' ')) > 4192), 0)::BIGINT AS over_limit FROM {_SHARDS} LEFT JOIN a ON a.shard = s.shard GROUP BY 1, 2""",
         "doc_limit": "SELECT source AS shard, doc_id, rank_in_shard FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS rank_in_shard FROM documents WHERE text <> '') WHERE rank_in_shard <= 5",
         "token_budget": f"{tokens} SELECT * FROM (SELECT split, shard, doc_id, n_tokens, coalesce(sum(n_tokens) OVER (PARTITION BY split ORDER BY shard_pos, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tokens_before FROM tokens) WHERE tokens_before < 20000",
         "token_rollup": f"{tokens} SELECT split, shard, count(*) AS documents, sum(n_tokens)::BIGINT AS tokens, (2 * sum(n_tokens))::BIGINT AS bytes, round(sum(n_tokens) / count(*), 6) AS tokens_per_document FROM tokens GROUP BY ROLLUP (split, shard)",
         "token_ids": f"{tokens} SELECT doc_id, {_JOIN('ids')} AS ids FROM tokens",
-        "encode_specials": f"SELECT doc_id, {_JOIN(f'list_concat([1], ({_IDS("text")})[1:16], [2])')} AS ids FROM documents",
+        "encode_specials": f"SELECT doc_id, {_JOIN(f'list_concat([1], {_IDS("text")}, [2])')} AS ids FROM documents",
         "document_chunks": "SELECT shard, (rank - 1) // 16 AS chunk, count(*) AS documents, sum(n)::BIGINT AS chars FROM (SELECT source AS shard, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE text <> '') GROUP BY ALL",
         "pack_blocks": f"""{tokens}, stream AS (SELECT flatten(list(ids ORDER BY shard_pos, doc_id)) AS ids FROM tokens WHERE split = 'train'), b AS (SELECT ids, unnest(range((len(ids) - 1) // 512)) AS block_id FROM stream)
  SELECT block_id, 512 AS size, md5({_JOIN('ids[block_id * 512 + 1 : block_id * 512 + 512]')}) AS inputs_md5, md5({_JOIN('ids[block_id * 512 + 2 : block_id * 512 + 513]')}) AS labels_md5 FROM b""",
@@ -157,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_mean": "SELECT round(avg(loss), 6) AS loss, count(*) AS batches FROM (SELECT event_id // 16 AS batch, avg(value) AS loss FROM events WHERE event_id < 800 GROUP BY 1) WHERE batch < 50",
         "best_so_far": "SELECT event_type, event_id, round(value, 6) AS value FROM (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value < b",
         "keep_last_n": "SELECT event_type, event_id, age FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC)::INT AS age FROM events) WHERE age <= 5",
-        "latest_complete": "SELECT event_type, max(event_id) AS latest FROM events WHERE value IS NOT NULL AND event_id % 7 <> 3 GROUP BY 1",
+        "latest_complete": "SELECT event_type, max(event_id) AS latest FROM events WHERE value IS NOT NULL GROUP BY 1",
         "softmax": f"WITH {_LOGITS} SELECT vec_id, token, round(exp(logit / 0.8) / sum(exp(logit / 0.8)) OVER (PARTITION BY vec_id), 9) AS p FROM logits",
         "top_k": f"WITH {_LOGITS} SELECT vec_id, token, logit FROM logits QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) <= 5",
         "top_p": f"WITH {_LOGITS}, s AS (SELECT vec_id, token, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p FROM logits) SELECT vec_id, token, round(p, 9) AS p FROM s QUALIFY sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) - p <= 0.9",

@@ -1,6 +1,7 @@
 """Queries over the tables of a folder; each has its SQL in oracle.py where SQL can express it.
 
-The virtual shard of a document is its source; the order inside a shard is doc_id.
+The virtual shard of a document is its source; the order inside a shard is doc_id. Defined cases are those of
+the operators; a query over an empty table is empty, or tells one row of zeros and nulls where it tells one row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from .operators import audit as A
 from .operators import corpus as C
 from .operators import coverage as V
 from .sources import corpus as S
+from .sources.shared import written
 
 OPTIONS = T.CleanOptions(min_length=100, max_length=100_000)
 SIZE = 512
@@ -46,6 +48,11 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("split", "shard_pos", "shard", "doc_id", C.ids_in_range(F.col("made")).alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+def _token_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same, made once and written, for queries that read it more than once."""
+    return written(_tokens(spark, d), "tokens")
+
+
 def _text(ids):
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
 
@@ -121,7 +128,7 @@ def language_counts(spark, d):
 
 
 def cluster_sample(spark, d):
-    rows = _corpus(spark, d).withColumn("row_index", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1)
+    rows = C.running(_corpus(spark, d).select("shard", "doc_id"), ["shard"], "doc_id", None, "row_index")
     return C.cluster_sample(rows, 7, 3, 10, 42).select("shard", "cluster", "pick", "draw", "doc_id")
 
 
@@ -137,6 +144,10 @@ def histogram_chars(spark, d):
     return A.histogram(_table(spark, d, "documents").select(F.length("text").alias("x")), "x").na.fill(-1, ["high"])
 
 
+def histogram_tokens(spark, d):
+    return A.histogram(_tokens(spark, d).select(F.col("n_tokens").alias("x")), "x").na.fill(-1, ["high"])
+
+
 def histogram_bytes(spark, d):
     return A.histogram(_table(spark, d, "documents").select(F.octet_length("text").alias("x")), "x").na.fill(-1, ["high"])
 
@@ -150,20 +161,58 @@ def cross_split_duplicates(spark, d):
 
 
 def cross_split_ids(spark, d):
+    return A.across_splits(_split(spark, d), F.col("doc_id"))
+
+
+def cross_split_languages(spark, d):
     return A.across_splits(_split(spark, d), F.col("lang"))
 
 
+def _pages(spark, d):
+    """Pages with the virtual shard of their number modulo 8, and its split."""
+    rows = _table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("p"), F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(8)).cast("string")).alias("shard"))
+    return C.with_split(rows)
+
+
+def cross_split_urls(spark, d):
+    return A.across_splits(_pages(spark, d), F.col("url"))
+
+
+def cross_split_hosts(spark, d):
+    return A.across_splits(_pages(spark, d), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1))
+
+
 def audit_summary(spark, d):
     rows = _cleaned(spark, d)
     return rows.agg(F.count("*").alias("documents"), F.count_distinct("shard").alias("shards"), F.sum("n_chars").alias("token_sum"), F.count("clean").alias("kept"), F.count_distinct(T.fingerprint(F.col("clean"))).alias("distinct_texts"))
 
 
+def _provenance(spark, corpus, options, limit, byte_limit, shards):
+    """Of each shard (shard, split, shard_pos) the accepted documents among the first `limit`, and those longer than `byte_limit`.
+
+    Order: that of the shuffled shards, of which those of validation are the first. Shards are counted whole; documents are numbered in the one shard alone
+    in which the limit falls, if it does.
+    """
+    place = shards.withColumn("shard_pos", F.col("shard_pos") + F.when(F.col("split") == "train", 1_000_000_000).otherwise(0))
+    kept = T.clean(corpus.select("shard", "doc_id", "text"), options=options).where("clean is not null")
+    kept = kept.select("shard", "doc_id", T.over_bytes(F.col("clean"), byte_limit).cast("long").alias("over"))
+    counts = written(kept.groupBy("shard").agg(F.count("*").alias("n"), F.sum("over").alias("over")), "accepted")
+    above = Window.orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    placed = place.join(counts, "shard", "left").na.fill(0, ["n", "over"]).withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    some = F.greatest(F.least(F.col("n"), F.lit(limit) - F.col("before")), F.lit(0))
+    placed = placed.select("shard", "split", "n", "over", "before", some.alias("accepted"))
+    cut = placed.where("accepted > 0 and accepted < n").first()
+    if cut is None:
+        return placed.select("shard", "split", "accepted", F.when(F.col("accepted") > 0, F.col("over")).otherwise(0).alias("over_limit"))
+    own = C.running(written(kept.where(F.col("shard") == cut["shard"]), "cut"), ["shard"], "doc_id", None, "rank").where(F.col("rank") < cut["accepted"])
+    part = own.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("part"))  # one row
+    over = F.when(F.col("accepted") == 0, 0).when(F.col("accepted") < F.col("n"), F.col("part")).otherwise(F.col("over"))
+    return placed.crossJoin(F.broadcast(part)).select("shard", "split", "accepted", over.alias("over_limit"))
+
+
 def tokenizer_provenance(spark, d):
-    kept = T.clean(_split(spark, d), options=OPTIONS).where("clean is not null").withColumn("pos", F.col("shard_pos") + F.when(F.col("split") == "train", 1).otherwise(0))
-    ranked = C.before_in_order(kept.withColumn("one", F.lit(1)).drop("shard_pos").withColumnRenamed("pos", "shard_pos"), "one", [], "before").where(F.col("before") < TRAIN_DOCUMENTS)
-    per = ranked.groupBy("shard").agg(F.count("*").alias("accepted"), F.count_if(T.over_bytes(F.col("clean"), 4192)).alias("over_limit"))
-    shards = C.split_frame(spark, C.shard_names(_corpus(spark, d)))
-    return shards.join(per, "shard", "left").select("shard", "split", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("over_limit", F.lit(0)).alias("over_limit"))
+    corpus = _corpus(spark, d)
+    return _provenance(spark, corpus, OPTIONS, TRAIN_DOCUMENTS, 4192, C.split_frame(spark, C.shard_names(corpus)))
 
 
 def doc_limit(spark, d):
@@ -171,7 +220,7 @@ def doc_limit(spark, d):
 
 
 def token_budget(spark, d):
-    return C.within_budget(_tokens(spark, d), 20_000).select("split", "shard", "doc_id", "n_tokens", "tokens_before")
+    return C.within_budget(_token_table(spark, d), 20_000).select("split", "shard", "doc_id", "n_tokens", "tokens_before")
 
 
 def token_rollup(spark, d):
@@ -188,12 +237,13 @@ def encode_specials(spark, d):
 
 
 def document_chunks(spark, d):
-    rows = C.seen(_corpus(spark, d)).withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")))
-    return rows.select("shard", F.floor((F.col("rank") - 1) / 16).alias("chunk"), F.length("text").alias("n")).groupBy("shard", "chunk").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
+    rows = C.seen(_corpus(spark, d)).select("shard", "doc_id", F.length("text").alias("n"))
+    rows = C.running(rows, ["shard"], "doc_id", None, "before")
+    return rows.groupBy("shard", F.floor(F.col("before") / 16).alias("chunk")).agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
 
 
 def pack_blocks(spark, d):
-    made = C.examples(C.blocks(_tokens(spark, d).where("split = 'train'"), SIZE))
+    made = C.examples(C.blocks(written(_tokens(spark, d).where("split = 'train'"), "tokens"), SIZE))
     return made.select("block_id", F.size("input_ids").alias("size"), F.md5(_text(F.col("input_ids"))).alias("inputs_md5"), F.md5(_text(F.col("labels"))).alias("labels_md5"))
 
 
@@ -202,8 +252,9 @@ def block_counts(spark, d):
 
 
 def _block_ids(spark, d):
-    total = _tokens(spark, d).where("split = 'train'").agg(C.block_count(F.sum("n_tokens"), 64).alias("n"))
-    return total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block_id"))
+    """Numbers of the training split's blocks of 64: the tokens are counted once."""
+    n = _tokens(spark, d).where("split = 'train'").agg(C.block_count(F.sum("n_tokens"), 64).alias("n")).first()["n"]
+    return spark.range(max(n or 0, 0)).withColumnRenamed("id", "block_id")
 
 
 def buffer_shuffle(spark, d):
@@ -223,7 +274,8 @@ def coverage_cursor(spark, d):
     blocks = _block_ids(spark, d)
     positions = spark.range(0, 200).select((F.col("id") * 37).alias("position"))
     n = blocks.count()
-    return V.at_positions(V.epoch_orders(blocks, 8, 42), positions, n).select("position", "epoch", "offset", "block_id", F.round(100.0 * F.col("offset") / n, 6).alias("percent"))
+    epochs = min(8, 199 * 37 // max(n, 1) + 1)  # those that a position falls in
+    return V.at_positions(V.epoch_orders(blocks, epochs, 42), positions, max(n, 1)).select("position", "epoch", "offset", "block_id", F.round(100.0 * F.col("offset") / n, 6).alias("percent"))
 
 
 def _exploded_windows(spark, d, size, step):
@@ -263,13 +315,12 @@ def eval_mean(spark, d):
 
 
 def best_so_far(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _events(spark, d).withColumn("best_before", F.min("value").over(w))
+    rows = C.running(_events(spark, d), ["event_type"], "event_id", "value", "best_before", least=True)
     return rows.where(F.col("best_before").isNull() | (F.col("value") < F.col("best_before"))).select("event_type", "event_id", F.round("value", 6).alias("value"))
 
 
 def keep_last_n(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.desc("event_id"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("event_id"), F.desc("value"))
     return _events(spark, d).withColumn("age", F.row_number().over(w)).where("age <= 5").select("event_type", "event_id", "age")
 
 
@@ -278,34 +329,43 @@ def latest_complete(spark, d):
 
 
 def _logits(spark, d):
-    rows = _table(spark, d, "embeddings")
-    return rows.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(x.cast("double") * 10, 4))).alias("token", "logit"))
+    """vec_id, logits: arrays throughout, so that nothing is shuffled by vec_id."""
+    return T.once(_table(spark, d, "embeddings").select("vec_id", "embedding"), F.transform("embedding", lambda x: F.round(x.cast("double") * 10, 4)), "logits").select("vec_id", "logits")
+
+
+def _each(column, value, digits=9):
+    return F.posexplode(F.transform(column, lambda v: F.round(v, digits))).alias("token", value)
 
 
 def softmax(spark, d):
-    return _logits(spark, d).select("vec_id", "token", F.round(lm.softmax(lm.tempered(F.col("logit"), 0.8), "vec_id"), 9).alias("p"))
+    return _logits(spark, d).select("vec_id", _each(lm.softmax_of(F.transform("logits", lambda v: lm.tempered(v, 0.8))), "p"))
 
 
 def top_k(spark, d):
-    return _logits(spark, d).withColumn("keep", lm.in_top_k(F.col("logit"), "vec_id", 5)).where("keep").select("vec_id", "token", "logit")
+    return _logits(spark, d).select("vec_id", F.inline(lm.top_k_of(F.col("logits"), 5)))
 
 
 def top_p(spark, d):
-    rows = _logits(spark, d).withColumn("p", lm.softmax(F.col("logit"), "vec_id"))
-    return rows.withColumn("keep", lm.in_top_p(F.col("p"), "vec_id", "token", 0.9)).where("keep").select("vec_id", "token", F.round("p", 9).alias("p"))
+    return _logits(spark, d).select("vec_id", F.inline(lm.top_p_of(lm.softmax_of(F.col("logits")), 0.9))).select("vec_id", "token", F.round("p", 9).alias("p"))
+
+
+def multinomial_draw(spark, d):
+    uniform = (F.pmod(F.col("vec_id") * 7919, F.lit(10007)) + 0.5) / 10007
+    return _logits(spark, d).select("vec_id", lm.drawn(lm.softmax_of(F.col("logits")), uniform).alias("token"))
 
 
 def repetition_penalty(spark, d):
-    seen = _logits(spark, d).where("token % 9 = vec_id % 9").select("vec_id", "token", F.lit(True).alias("seen"))
-    rows = _logits(spark, d).join(seen, ["vec_id", "token"], "left")
-    return rows.select("vec_id", "token", F.round(lm.penalized(F.col("logit"), F.coalesce("seen", F.lit(False)), 1.2), 9).alias("logit"))
+    seen = lambda i: F.pmod(i, F.lit(9)) == F.pmod(F.col("vec_id"), F.lit(9))
+    return _logits(spark, d).select("vec_id", F.posexplode(F.transform("logits", lambda v, i: F.round(lm.penalized(v, seen(i), 1.2), 9))).alias("token", "logit"))
 
 
 def beam_step(spark, d):
-    rows = _logits(spark, d).withColumn("lp", lm.log_softmax(F.col("logit"), "vec_id")).withColumn("group", F.floor(F.col("vec_id") / 4))
-    score = F.round((F.col("lp") - F.col("vec_id") % 4) / F.pow(F.lit(6.0), 0.7), 9)
-    w = Window.partitionBy("group").orderBy(F.desc("score"), "vec_id", "token")
-    return rows.withColumn("score", score).withColumn("beam", F.row_number().over(w)).where("beam <= 4").select("group", "beam", "vec_id", "token", "score")
+    score = lambda lp: F.round((lp - F.col("vec_id") % 4) / F.pow(F.lit(6.0), 0.7), 9)
+    ranked = F.array_sort(F.transform(lm.log_softmax_of(F.col("logits")), lambda v, i: F.struct((-score(v)).alias("minus"), F.col("vec_id").alias("vec_id"), i.alias("token"))))
+    # Of each vector only the candidates that may win are shuffled.
+    best = _logits(spark, d).select(F.floor(F.col("vec_id") / 4).alias("group"), F.explode(F.slice(ranked, 1, 4)).alias("c"))
+    w = Window.partitionBy("group").orderBy("c")
+    return best.withColumn("beam", F.row_number().over(w)).where("beam <= 4").select("group", "beam", "c.vec_id", "c.token", (-F.col("c.minus")).alias("score"))
 
 
 def _vectors(spark, d):
@@ -355,7 +415,7 @@ def bpe_word_counts(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         clean_profile, clean_text, clean_pages, length_filter_reasons, truncate_paragraph, chunk_paragraphs, chunk_overlap, conversation_paragraphs, shard_split, estimated_documents,
-        worker_files, shard_inventory, language_counts, cluster_sample, shard_seeds, length_stats, histogram_chars, histogram_bytes, split_summary, cross_split_duplicates, cross_split_ids,
+        worker_files, shard_inventory, language_counts, cluster_sample, shard_seeds, length_stats, histogram_chars, histogram_bytes, split_summary, cross_split_duplicates, cross_split_ids, cross_split_languages, cross_split_urls, cross_split_hosts, histogram_tokens, multinomial_draw,
         audit_summary, tokenizer_provenance, doc_limit, token_budget, token_rollup, token_ids, encode_specials, document_chunks, pack_blocks, block_counts, buffer_shuffle, batches_drop_last,
         coverage_order, coverage_cursor, eval_chunks, ppl_windows, interval_metrics, eval_mean, best_so_far, keep_last_n, latest_complete, softmax, top_k, top_p, repetition_penalty, beam_step,
         rms_norm, rope, swiglu, cross_entropy, token_weighted_nll, param_counts, bpe_word_counts,
