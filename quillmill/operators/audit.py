@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
+from .corpus import running
 
 EDGES = (0, 100, 500, 1000, 5000, 10_000, 50_000, 100_000)
 
@@ -69,3 +71,38 @@ def lengths(df: DataFrame, least: int, most: int, byte_limit: int) -> DataFrame:
         F.median(n).alias("median_chars"),
     )
     return stats.crossJoin(F.broadcast(percentiles(df.select(F.lit(0).alias("_one"), n.alias("_chars")), ["_one"], "_chars", {"p95_chars": 0.95}).drop("_one")))
+
+
+def provenance(corpus: DataFrame, shards: DataFrame, options: T.CleanOptions, limit: int, byte_limit: int) -> DataFrame:
+    """Of each shard (shard, split, shard_pos) the accepted documents among the first `limit`, and those longer than `byte_limit`.
+
+    Order: that of the shuffled shards, of which those of validation are the first. Shards are counted whole; documents are numbered in the one shard alone
+    in which the limit falls, if it does.
+    """
+    place = shards.withColumn("shard_pos", F.col("shard_pos") + F.when(F.col("split") == "train", 1_000_000_000).otherwise(0))
+    kept = T.clean(corpus.select("shard", "doc_id", "text"), options=options).where("clean is not null")
+    kept = kept.select("shard", "doc_id", T.over_bytes(F.col("clean"), byte_limit).cast("long").alias("over"))
+    counts = written(kept.groupBy("shard").agg(F.count("*").alias("n"), F.sum("over").alias("over")), "accepted")
+    above = Window.orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    placed = place.join(counts, "shard", "left").na.fill(0, ["n", "over"]).withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    some = F.greatest(F.least(F.col("n"), F.lit(limit) - F.col("before")), F.lit(0))
+    placed = placed.select("shard", "split", "n", "over", "before", some.alias("accepted"))
+    cut = placed.where("accepted > 0 and accepted < n").first()
+    if cut is None:
+        return placed.select("shard", "split", "accepted", F.when(F.col("accepted") > 0, F.col("over")).otherwise(0).alias("over_limit"))
+    own = running(written(kept.where(F.col("shard") == cut["shard"]), "cut"), ["shard"], "doc_id", None, "rank").where(F.col("rank") < cut["accepted"])
+    part = own.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("part"))  # one row
+    over = F.when(F.col("accepted") == 0, 0).when(F.col("accepted") < F.col("n"), F.col("part")).otherwise(F.col("over"))
+    return placed.crossJoin(F.broadcast(part)).select("shard", "split", "accepted", over.alias("over_limit"))
+
+
+def throughput(steps: DataFrame, every: int) -> DataFrame:
+    """interval, documents, tokens, seconds since the interval before began, documents_per_second of steps (event_id, ts, value).
+
+    The first interval has no seconds; an interval that took none has no rate.
+    """
+    each = steps.groupBy(F.floor(F.col("event_id") / every).alias("interval")).agg(F.count("*").alias("documents"), F.sum("value").alias("tokens"), F.min("ts").alias("began"))
+    before = F.lag("began").over(Window.orderBy("interval"))  # one row an interval
+    timed = each.withColumn("seconds", (F.unix_micros(F.col("began").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6)
+    rate = F.when(F.col("seconds") > 0, F.round(F.col("documents") / F.col("seconds"), 6))
+    return timed.select("interval", "documents", F.round("tokens", 6).alias("tokens"), "seconds", rate.alias("documents_per_second"))

@@ -17,6 +17,8 @@ def epoch_orders(blocks: DataFrame, epochs: int, seed: int) -> DataFrame:
 
     Offsets come from two-level prefix sums over 4096 ranges of the hash, not from one global sort.
     """
+    if epochs < 1:
+        return blocks.select(F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("offset"), "block_id").limit(0)
     rows = blocks.select("block_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     rows = rows.withColumn("_order", hash_order(F.lit(seed), F.col("epoch"), F.col("block_id"))).withColumn("_range", F.substring("_order", 1, 3))
     above = Window.partitionBy("epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,6 +42,7 @@ class Cursor:
     identity: str
     committed: int = 0
     issued: int = 0
+    context: int = 0
 
     def issue(self, n: int) -> range:
         start, self.issued = self.issued, self.issued + n
@@ -57,16 +60,27 @@ class Cursor:
     def state(self) -> dict:
         if self.issued != self.committed:
             raise RuntimeError("blocks are in flight")
-        return {"version": 1, "n_blocks": self.n_blocks, "seed": self.seed, "identity": self.identity, "position": self.committed}
+        epoch, offset = divmod(self.committed, self.n_blocks)
+        facts = {"version": 1, "n_blocks": self.n_blocks, "seed": self.seed, "identity": self.identity, "context": self.context}
+        return facts | {"position": self.committed, "epoch": epoch, "offset": offset, "order": self.order(epoch)}
+
+    def order(self, epoch: int) -> str:
+        """Hash of what fixes an epoch's order: hash_order of the seed, the epoch and each block."""
+        return identity(kind="sha256(seed|epoch|block)", seed=self.seed, epoch=epoch, n_blocks=self.n_blocks)
 
     def load(self, state: dict) -> None:
         if self.issued != self.committed:
             raise RuntimeError("blocks are in flight")
-        for name, own in (("version", 1), ("n_blocks", self.n_blocks), ("seed", self.seed), ("identity", self.identity)):
+        for name, own in (("version", 1), ("n_blocks", self.n_blocks), ("seed", self.seed), ("identity", self.identity), ("context", self.context)):
             if state.get(name) != own:
                 raise ValueError(f"the state has another {name}")
         if not isinstance(state.get("position"), int) or state["position"] < 0:
             raise ValueError("the state has no valid position")
+        epoch, offset = divmod(state["position"], self.n_blocks)
+        if (state.get("epoch"), state.get("offset")) != (epoch, offset):
+            raise ValueError("the state's epoch and offset are not those of its position")
+        if state.get("order") != self.order(epoch):
+            raise ValueError("the state has another order")
         self.committed = self.issued = state["position"]
 
 

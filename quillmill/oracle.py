@@ -161,6 +161,8 @@ def oracle_sql() -> dict[str, str]:
         "lr_linear": _rate("WHEN step >= 1000 THEN 3e-5 ELSE 3e-4 - (step - 100) / 900.0 * 2.7e-4"),
         "lr_constant": _rate("ELSE 3e-4"),
         "interval_metrics": "SELECT event_id // 100 AS interval, count(*) AS steps, round(avg(value), 6) AS loss, round(exp(least(avg(value) / 10, 20)), 6) AS perplexity FROM events GROUP BY 1",
+        "interval_throughput": """WITH e AS (SELECT event_id // 100 AS interval, count(*) AS documents, round(sum(value), 6) AS tokens, min(ts) AS began FROM events GROUP BY 1), s AS (SELECT *, (epoch_us(began) - epoch_us(lag(began) OVER (ORDER BY interval))) / 1e6 AS seconds FROM e)
+ SELECT interval, documents, tokens, seconds::DOUBLE AS seconds, CASE WHEN seconds > 0 THEN round(documents / seconds, 6) END AS documents_per_second FROM s""",
         "eval_mean": "SELECT round(avg(loss), 6) AS loss, count(*) AS batches FROM (SELECT event_id // 16 AS batch, avg(value) AS loss FROM events WHERE event_id < 800 GROUP BY 1) WHERE batch < 50",
         "best_so_far": "SELECT event_type, event_id, round(value, 6) AS value FROM (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value < b",
         "keep_last_n": "SELECT event_type, event_id, age FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC)::INT AS age FROM events) WHERE age <= 5",

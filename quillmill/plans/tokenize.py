@@ -1,14 +1,20 @@
-"""Parquet shards to one 16-bit token file a split, published whole with a manifest.
+"""Parquet shards to one 16-bit token file a split, published whole with a manifest and a profile.
 
 Documents are cleaned by column expressions and range-partitioned by (shard_pos, row_index); each
-ordered partition is tokenised and written as a part on the folder's file system; the driver appends the
-parts in order, checks sizes and sources, and moves the result into place, the manifest last.
+ordered partition is tokenised and written as a part on the file system of the output folder, which all executors
+must share; the driver appends the parts in order, checks sizes and sources, and moves the result into place,
+the manifest last. Filtered documents travel along without their text, so that one pass also counts
+what each shard gave. Folders may be local paths or URIs that Arrow knows.
+
+Defined cases: null and empty texts are not seen; a text that the encoder fails on stops the run, or is left out with
+skip_errors; a document without tokens is its end id alone; columns beside the text are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..sources import corpus as S
+from ..sources.shared import written
 from . import manifest as M
 
 
@@ -44,6 +51,22 @@ class Tokenizer:
                 _LOADED[self.path] = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)], model.decode, model.get_vocab_size()
         return _LOADED[self.path]
 
+    def special_ids(self) -> dict[str, int]:
+        """pad, bos, eos, unk where the model has them (-1 where not); eos is the one of this tokenizer."""
+        self.loaded()
+        if self.path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=self.path)
+            return {"pad": model.pad_id(), "bos": model.bos_id(), "unk": model.unk_id(), "eos": self.eos}
+        import tokenizers
+
+        model = tokenizers.Tokenizer.from_file(self.path)
+        return {k: next((i for t in names if (i := model.token_to_id(t)) is not None), -1) for k, names in (("pad", ("<pad>",)), ("bos", ("<s>", "<bos>")), ("unk", ("<unk>",)))} | {"eos": self.eos}
+
+    def __len__(self) -> int:
+        return self.loaded()[2]
+
     def facts(self) -> dict:
         return {"type": "sentencepiece" if self.path.endswith(".model") else "hf", "sha256": M.sha256_file(self.path), "vocab_size": self.loaded()[2], "eos": self.eos}
 
@@ -51,56 +74,129 @@ class Tokenizer:
 _LOADED: dict = {}
 
 
-def encoded(df: DataFrame, tokenizer: Tokenizer, column: str, keep: list[str]) -> DataFrame:
-    """keep and ids, ended by the end id. A vocabulary that needs more than 16 bits is a ValueError."""
+def encoded_texts(encode, texts: list[str | None], eos: int, skip_errors: bool) -> list[list[int] | None]:
+    def each(some: list[str]) -> list[list[int] | None]:
+        try:
+            return encode(some)
+        except Exception:
+            if not skip_errors:
+                raise
+            return [None] if len(some) == 1 else [i for t in some for i in each([t])]
+
+    made = iter(each([t for t in texts if t is not None]))
+    return [None if t is None or (i := next(made)) is None else [*i, eos] for t in texts]
+
+
+def encoded(df: DataFrame, tokenizer: Tokenizer, column: str, keep: list[str], skip_errors: bool = False) -> DataFrame:
+    """keep and ids, ended by the end id; null where the text is. A vocabulary that needs more than 16 bits is a ValueError.
+
+    skip_errors: a text that the encoder fails on has null ids.
+    """
     if tokenizer.loaded()[2] > 65536:
         raise ValueError("ids of this vocabulary don't fit 16 bits")
 
     def run(batches):
         encode = tokenizer.loaded()[0]
         for b in batches:
-            ids = [[*i, tokenizer.eos] for i in encode(b.column(column).to_pylist())]
+            ids = encoded_texts(encode, b.column(column).to_pylist(), tokenizer.eos, skip_errors)
             yield pa.record_batch([*(b.column(k) for k in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     kinds = dict(df.dtypes)
     return df.select(*keep, column).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", ids array<int>")
 
 
-def _parts(folder: str):
+def decoded(df: DataFrame, tokenizer: Tokenizer, keep: list[str], skip_special: bool = True) -> DataFrame:
+    """keep and text of rows with ids; the special ids of the tokenizer are left out unless skip_special is False."""
+    special = {i for i in tokenizer.special_ids().values() if i >= 0} if skip_special else set()
+
+    def run(batches):
+        decode = tokenizer.loaded()[1]
+        for b in batches:
+            texts = [None if i is None else decode([x for x in i if x not in special]) for i in b.column("ids").to_pylist()]
+            yield pa.record_batch([*(b.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keep, "ids").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", text string")
+
+
+def _fs(folder: str):
+    """The Arrow file system of a folder, and the folder's path there."""
+    from pyarrow import fs as arrow_fs
+
+    return arrow_fs.FileSystem.from_uri(folder) if "://" in folder else (arrow_fs.LocalFileSystem(), folder)
+
+
+PART = "part long, shard_pos int, seen long, kept long, tokens long, bytes long, seconds double"
+
+
+def _parts(folder: str, buffer: int):
+    """Write the ids of an ordered partition as one part; give what each shard has in it. buffer: tokens that are held before they are written."""
+
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        made, tokens, docs = f"{folder}/.{uuid.uuid4().hex}", 0, 0
-        with open(made, "wb") as f:
+        files, at = _fs(folder)
+        made, told, held, n_held, size = f"{at}/.{uuid.uuid4().hex}", {}, [], 0, 0
+        began = time.perf_counter()
+        with files.open_output_stream(made) as f:
             for b in batches:
-                ids = b.column("ids").flatten().to_numpy(zero_copy_only=False)
-                f.write(np.asarray(ids, dtype="<u2").tobytes())
-                tokens, docs = tokens + len(ids), docs + b.num_rows
-        os.replace(made, f"{folder}/part-{part:06d}")
-        yield pa.record_batch([pa.array([part]), pa.array([tokens]), pa.array([docs])], names=["part", "tokens", "documents"])
+                ids, shards = b.column("ids"), b.column("shard_pos").to_numpy(zero_copy_only=False)
+                flat = np.asarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<u2")
+                lengths = np.array([len(x) if x.is_valid else -1 for x in ids], dtype=np.int64)
+                for shard in np.unique(shards).tolist():
+                    own = lengths[shards == shard]
+                    old = told.setdefault(shard, [0, 0, 0, 0.0])
+                    for k, v in enumerate((len(own), int((own >= 0).sum()), int(own[own > 0].sum()), (time.perf_counter() - began) * len(own) / len(shards))):
+                        old[k] += v
+                held.append(flat.tobytes())
+                n_held, size = n_held + len(flat), size + 2 * len(flat)
+                if n_held >= buffer:
+                    f.write(b"".join(held))
+                    held, n_held = [], 0
+                began = time.perf_counter()
+            f.write(b"".join(held))
+        files.move(made, f"{at}/part-{part:06d}")
+        rows = [(part, s, *v[:3], size, v[3]) for s, v in told.items()] or [(part, -1, 0, 0, 0, size, 0.0)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PART.split(", ")])
 
     return run
 
 
-def tokenize_corpus(spark: SparkSession, root: str, out: str, tokenizer: Tokenizer, options: T.CleanOptions = T.CleanOptions(), text_column: str = "text", val_split: float = 0.05, seed: int = 42, max_docs_per_file: int | None = None, max_tokens: int | None = None, partitions: int = 8) -> dict:
+def profile_row(name: str, seen: int, kept: int, tokens: int, seconds: float) -> dict:
+    """Counts and rates of a shard, a split or a run; no rate is divided by less than a nanosecond."""
+    s = max(seconds, 1e-9)
+    return {
+        "name": name, "documents_seen": seen, "documents_kept": kept, "documents_filtered": seen - kept, "tokens_written": tokens, "output_bytes": 2 * tokens, "seconds": seconds,
+        "documents_per_second": seen / s, "tokens_per_second": tokens / s, "output_mib_per_second": 2 * tokens / s / 2**20, "tokens_per_kept_document": tokens / kept if kept else 0.0,
+    }
+
+
+def tokenize_corpus(
+    spark: SparkSession, root: str, out: str, tokenizer: Tokenizer, options: T.CleanOptions = T.CleanOptions(), text_column: str = "text", val_split: float = 0.05, seed: int = 42,
+    max_docs_per_file: int | None = None, max_tokens: int | None = None, partitions: int = 8, buffer: int = 1 << 20, skip_errors: bool = False, profile: list | None = None,
+) -> dict:
     """Write out/{train,validation}.bin. Returns documents seen, kept, filtered and tokens of each split.
 
-    Limited runs (one limit at most, and never into the corpus folder) publish no manifest.
+    Limited runs (one limit at most, and never into the corpus folder) publish no manifest. profile gets a profile_row of each
+    shard, each split and the run (seconds of tasks, added up).
     """
     limits = [x for x in (max_docs_per_file, max_tokens) if x is not None]
     if len(limits) > 1 or any(x <= 0 for x in limits):
         raise ValueError("give one positive limit at most")
     if limits and os.path.realpath(out) == os.path.realpath(root):
         raise ValueError("a limited run may not write into the corpus folder")
-    files = S.discover(root)
-    splits = C.split_names(files, val_split, seed)
+    found = S.discover(root)
+    splits = C.split_names(found, val_split, seed)
     before = {s: M.source_records(f, root) for s, f in splits.items()}
-    os.makedirs(out, exist_ok=True)
-    if os.path.exists(f"{out}/{M.NAME}"):
-        os.remove(f"{out}/{M.NAME}")
-    staged = f"{out}/.staged-{uuid.uuid4().hex}"
+    files, at = _fs(out)
+    files.create_dir(at, recursive=True)
+    if files.get_file_info(f"{at}/{M.NAME}").is_file:
+        files.delete_file(f"{at}/{M.NAME}")
+    staged = f".staged-{uuid.uuid4().hex}"
     told: dict[str, dict] = {}
+    rows_of_profile: list[dict] = []
     try:
         for split, names in splits.items():
             place = spark.createDataFrame([(f"file://{os.path.realpath(f)}", i) for i, f in enumerate(names)], "shard string, shard_pos int")
@@ -108,34 +204,42 @@ def tokenize_corpus(spark: SparkSession, root: str, out: str, tokenizer: Tokeniz
             rows = C.seen(rows).withColumnRenamed("row_index", "doc_id")
             if max_docs_per_file:
                 rows = C.first_per_shard(rows, max_docs_per_file)
-            kept = T.clean(rows, "text", options).where("clean is not null").withColumn("split", F.lit(split))
-            tokens = encoded(kept, tokenizer, "clean", ["split", "shard_pos", "doc_id"])
-            n_seen = rows.count()
+            cleaned = T.clean(rows, "text", options).withColumn("split", F.lit(split))
+            tokens = encoded(cleaned, tokenizer, "clean", ["split", "shard_pos", "doc_id"], skip_errors)
             if max_tokens:
-                tokens = C.within_budget(tokens.withColumn("n_tokens", F.size("ids").cast("long")), max_tokens)
-            folder = f"{staged}/{split}"
-            os.makedirs(folder)
+                tokens = written(tokens.withColumn("n_tokens", F.greatest(F.size("ids"), F.lit(0)).cast("long")), "tokens")
+                tokens = C.within_budget(tokens, max_tokens)
+            folder = f"{out}/{staged}/{split}"
+            files.create_dir(f"{at}/{staged}/{split}", recursive=True)
             ordered = tokens.select("shard_pos", "doc_id", "ids").repartitionByRange(partitions, "shard_pos", "doc_id").sortWithinPartitions("shard_pos", "doc_id")
-            parts = sorted(tuple(r) for r in ordered.mapInArrow(_parts(folder), "part long, tokens long, documents long").collect())
-            with open(f"{staged}/{split}.bin", "wb") as whole:
-                for part, n, _ in parts:
-                    name = f"{folder}/part-{part:06d}"
-                    if os.path.getsize(name) != 2 * n:
-                        raise OSError(f"{name} has not {n} ids")
-                    with open(name, "rb") as f:
-                        shutil.copyfileobj(f, whole)
-                    os.remove(name)
-            n_kept = sum(p[2] for p in parts)
-            told[split] = {"seen": n_seen, "kept": n_kept, "filtered": n_seen - n_kept, "tokens": sum(p[1] for p in parts)}
+            parts = ordered.mapInArrow(_parts(folder, buffer), PART).collect()  # one row a shard and part
+            with files.open_output_stream(f"{at}/{staged}/{split}.bin") as whole:
+                for part, size in sorted({(r["part"], r["bytes"]) for r in parts}):
+                    name = f"{at}/{staged}/{split}/part-{part:06d}"
+                    if files.get_file_info(name).size != size:
+                        raise OSError(f"{name} has not {size} bytes")
+                    with files.open_input_stream(name) as f:
+                        shutil.copyfileobj(f, whole, 1 << 22)
+                    files.delete_file(name)
+            total = lambda rows: [sum(r[k] for r in rows) for k in ("seen", "kept", "tokens", "seconds")]
+            for i, name in enumerate(names):
+                rows_of_profile.append(profile_row(os.path.basename(name), *total([r for r in parts if r["shard_pos"] == i])))
+            n_seen, n_kept, n_tokens, seconds = total(parts)
+            rows_of_profile.append(profile_row(split, n_seen, n_kept, n_tokens, seconds))
+            told[split] = {"seen": n_seen, "kept": n_kept, "filtered": n_seen - n_kept, "tokens": n_tokens}
         if {s: M.source_records(f, root) for s, f in splits.items()} != before:
             raise RuntimeError("the sources changed meanwhile")
         for split in splits:
-            os.replace(f"{staged}/{split}.bin", f"{out}/{split}.bin")
+            files.move(f"{at}/{staged}/{split}.bin", f"{at}/{split}.bin")
         if not limits:
             settings = {"val_split": val_split, "seed": seed, "min_length": options.min_length, "max_length": options.max_length, "text_column": text_column}
             M.write_json(f"{out}/{M.NAME}", M.manifest(tokenizer.facts(), settings, splits, root, {s: t["tokens"] for s, t in told.items()}))
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        if files.get_file_info(f"{at}/{staged}").type.name == "Directory":
+            files.delete_dir(f"{at}/{staged}")
+    if profile is not None:
+        own = [r for r in rows_of_profile if r["name"] in splits]
+        profile += [*rows_of_profile, profile_row("all", *(sum(r[k] for r in own) for k in ("documents_seen", "documents_kept", "tokens_written", "seconds")))]
     return told
 
 

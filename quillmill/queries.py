@@ -25,12 +25,21 @@ SIZE = 512
 TRAIN_DOCUMENTS = 2_000_000
 
 
+#: The columns that queries read; whatever else a table has is left in its file.
+COLUMNS = {
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"), "labels": ("doc_id", "quality", "toxic"), "pages": ("page_id", "url", "html"), "conversations": ("conv_id", "turn", "role", "text"),
+    "embeddings": ("vec_id", "embedding", "label"), "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+}
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return rows.select(*[c for c in COLUMNS[name] if c in rows.columns])
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return S.spread(_table(spark, d, "documents")).withColumnRenamed("source", "shard")
+    """Documents by shard; those without a source are in the shard of the empty name."""
+    return S.spread(_table(spark, d, "documents")).withColumn("source", F.coalesce("source", F.lit(""))).withColumnRenamed("source", "shard")
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
@@ -187,32 +196,9 @@ def audit_summary(spark, d):
     return rows.agg(F.count("*").alias("documents"), F.count_distinct("shard").alias("shards"), F.sum("n_chars").alias("token_sum"), F.count("clean").alias("kept"), F.count_distinct(T.fingerprint(F.col("clean"))).alias("distinct_texts"))
 
 
-def _provenance(spark, corpus, options, limit, byte_limit, shards):
-    """Of each shard (shard, split, shard_pos) the accepted documents among the first `limit`, and those longer than `byte_limit`.
-
-    Order: that of the shuffled shards, of which those of validation are the first. Shards are counted whole; documents are numbered in the one shard alone
-    in which the limit falls, if it does.
-    """
-    place = shards.withColumn("shard_pos", F.col("shard_pos") + F.when(F.col("split") == "train", 1_000_000_000).otherwise(0))
-    kept = T.clean(corpus.select("shard", "doc_id", "text"), options=options).where("clean is not null")
-    kept = kept.select("shard", "doc_id", T.over_bytes(F.col("clean"), byte_limit).cast("long").alias("over"))
-    counts = written(kept.groupBy("shard").agg(F.count("*").alias("n"), F.sum("over").alias("over")), "accepted")
-    above = Window.orderBy("shard_pos").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    placed = place.join(counts, "shard", "left").na.fill(0, ["n", "over"]).withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    some = F.greatest(F.least(F.col("n"), F.lit(limit) - F.col("before")), F.lit(0))
-    placed = placed.select("shard", "split", "n", "over", "before", some.alias("accepted"))
-    cut = placed.where("accepted > 0 and accepted < n").first()
-    if cut is None:
-        return placed.select("shard", "split", "accepted", F.when(F.col("accepted") > 0, F.col("over")).otherwise(0).alias("over_limit"))
-    own = C.running(written(kept.where(F.col("shard") == cut["shard"]), "cut"), ["shard"], "doc_id", None, "rank").where(F.col("rank") < cut["accepted"])
-    part = own.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("part"))  # one row
-    over = F.when(F.col("accepted") == 0, 0).when(F.col("accepted") < F.col("n"), F.col("part")).otherwise(F.col("over"))
-    return placed.crossJoin(F.broadcast(part)).select("shard", "split", "accepted", over.alias("over_limit"))
-
-
 def tokenizer_provenance(spark, d):
     corpus = _corpus(spark, d)
-    return _provenance(spark, corpus, OPTIONS, TRAIN_DOCUMENTS, 4192, C.split_frame(spark, C.shard_names(corpus)))
+    return A.provenance(corpus, C.split_frame(spark, C.shard_names(corpus)), OPTIONS, TRAIN_DOCUMENTS, 4192)
 
 
 def doc_limit(spark, d):
@@ -309,6 +295,10 @@ def interval_metrics(spark, d):
     return _events(spark, d).groupBy(F.floor(F.col("event_id") / 100).alias("interval")).agg(F.count("*").alias("steps"), F.round(loss, 6).alias("loss"), F.round(lm.perplexity(loss / 10), 6).alias("perplexity"))
 
 
+def interval_throughput(spark, d):
+    return A.throughput(_table(spark, d, "events").select("event_id", "ts", "value"), 100)
+
+
 def eval_mean(spark, d):
     batches = _events(spark, d).where("event_id < 800").groupBy(F.floor(F.col("event_id") / 16).alias("batch")).agg(F.avg("value").alias("loss"))
     return batches.where("batch < 50").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("batches"))
@@ -417,7 +407,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         clean_profile, clean_text, clean_pages, length_filter_reasons, truncate_paragraph, chunk_paragraphs, chunk_overlap, conversation_paragraphs, shard_split, estimated_documents,
         worker_files, shard_inventory, language_counts, cluster_sample, shard_seeds, length_stats, histogram_chars, histogram_bytes, split_summary, cross_split_duplicates, cross_split_ids, cross_split_languages, cross_split_urls, cross_split_hosts, histogram_tokens, multinomial_draw,
         audit_summary, tokenizer_provenance, doc_limit, token_budget, token_rollup, token_ids, encode_specials, document_chunks, pack_blocks, block_counts, buffer_shuffle, batches_drop_last,
-        coverage_order, coverage_cursor, eval_chunks, ppl_windows, interval_metrics, eval_mean, best_so_far, keep_last_n, latest_complete, softmax, top_k, top_p, repetition_penalty, beam_step,
+        coverage_order, coverage_cursor, eval_chunks, ppl_windows, interval_metrics, interval_throughput, eval_mean, best_so_far, keep_last_n, latest_complete, softmax, top_k, top_p, repetition_penalty, beam_step,
         rms_norm, rope, swiglu, cross_entropy, token_weighted_nll, param_counts, bpe_word_counts,
     )
     return {f.__name__: f for f in plain} | {f"lr_{n}": _rates(f"{n}_with_warmup") for n in ("cosine", "linear", "constant")}
