@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, written  # noqa: F401
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -50,43 +49,6 @@ def shipped_table(target: str, **params) -> Callable:
     return call
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a session whose executors run in this process (local mode) may go without the setting;
-    it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'quillmill-' + str(os.getpid()))}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df as Parquet under the shared folder and read it again.
-
-    The written schema is passed to the reader, so empty tables keep their columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
-    for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Parts that the rows of heavy keys are spread over, and the rows below which a key is never heavy.
 SPREAD, LEAST_HEAVY = 1024, 200_000
 
