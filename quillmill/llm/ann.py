@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-PROJECTIONS = 64
+PROJECTIONS = 128
 #: Windows are REACH times the distance whose vectors they must hold; widths grow by GROWTH.
 REACH = 0.9
 GROWTH = 1.3
@@ -51,38 +51,37 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 20):
         by_id = np.argsort(ids)
         self.ids, self.vectors, self.seed = ids[by_id], vectors[by_id], seed
+        projected = self._projected()
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.uint16 if len(ids) <= 1 << 16 else np.int32)
+        self._arrange(projected)
+
+    def _projected(self) -> np.ndarray:
         squares = (self.vectors**2).sum(1)
         self.norm = math.sqrt(float(squares.max()))
         lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(self.norm**2 - squares, 0))]) / self.norm
-        projected = np.ascontiguousarray((lifted @ self._directions()).T).astype(np.float32)
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.uint16 if len(ids) <= 1 << 16 else np.int32)
-        self._arrange(np.take_along_axis(projected, self.order.astype(np.int64), 1))
-
-    def _directions(self) -> np.ndarray:
-        return np.random.default_rng(self.seed).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
+        self.directions = np.random.default_rng(self.seed).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
+        return np.ascontiguousarray((lifted @ self.directions).T)
 
     def _arrange(self, projected: np.ndarray) -> None:
-        self.directions = self._directions()
         # One ascending array: direction j's projections, moved by j times more than they can span.
         self.span = 4 * float(np.abs(self.directions).sum(0).max())
         self.shift = np.arange(PROJECTIONS) * self.span
-        self.projected = projected
-        self.sorted = (projected.astype(np.float64) + self.shift[:, None]).ravel()
+        self.sorted = (np.take_along_axis(projected, self.order.astype(np.int64), 1) + self.shift[:, None]).ravel()
         inside = math.erf(REACH / math.sqrt(2))
         self.enough = math.floor(PROJECTIONS * inside - SAFETY * math.sqrt(PROJECTIONS * inside * (1 - inside)))
 
     def dump(self) -> bytes:
+        """The vectors and, of each direction, their order, which is what takes long; projections are made again."""
         short = self.vectors.astype(np.float32)
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, projected=self.projected, norm=self.norm, seed=self.seed)
+        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, seed=self.seed)
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> Index:
         self, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
-        self.ids, self.vectors, self.order = parts["ids"], parts["vectors"].astype(np.float64), parts["order"]
-        self.norm, self.seed = float(parts["norm"]), int(parts["seed"])
-        self._arrange(parts["projected"])
+        self.ids, self.vectors, self.order, self.seed = parts["ids"], parts["vectors"].astype(np.float64), parts["order"], int(parts["seed"])
+        self._arrange(self._projected())
         return self
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
