@@ -37,7 +37,7 @@ PROJECTIONS = 128
 #: Windows are REACH times the distance whose vectors they must hold; widths grow by GROWTH.
 REACH = 0.9
 GROWTH = 1.3
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 16
 #: Queries of a task at most; and of all tasks' files of queries, the rows read at once.
 QUERY_ROWS, READ_ROWS = 1 << 16, 1 << 12
 #: Standard deviations below the expected collisions at which a vector is still verified.
@@ -117,7 +117,7 @@ class Index:
             if len(fresh):
                 known[fresh] = True
                 rows = np.concatenate([rows, fresh])
-                scores = np.concatenate([scores, (self.vectors[fresh] * query).sum(1)])
+                scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
             if whole:
                 break
             if len(rows) >= wanted:
@@ -197,7 +197,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     asked = rows.where(is_query)
     n_asked = asked.count()
     # Few blocks: their queries are divided over the cores. Many: a task has QUERY_ROWS queries at most.
-    parts = max(-(-2 * spark.sparkContext.defaultParallelism // max(blocks, 1)), -(-n_asked // QUERY_ROWS), 1)
+    parts = max(-(-spark.sparkContext.defaultParallelism // max(blocks, 1)), -(-n_asked // QUERY_ROWS), 1)
     folder, queries = (f"{runtime.shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("index", "asked"))
     hashed = lambda count: F.pmod(F.xxhash64("vec_id"), count)
     asked.select("vec_id", "embedding", hashed(F.lit(parts)).alias("part")).repartition(min(parts, 1 << 14), "part").write.partitionBy("part").parquet(queries)
