@@ -53,8 +53,19 @@ class Index:
         self.ids, self.vectors, self.seed = ids[by_id], vectors[by_id], seed
         projected = self._projected()
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.uint16 if len(ids) <= 1 << 16 else np.int32)
+        self.start = self._first_width()
         self._arrange(projected)
 
+    def _first_width(self) -> float:
+        """Half the window of the usual distance to a nearest vector, that of the vectors at 32 fixed places."""
+        n = len(self.ids)
+        some = np.unique(np.linspace(0, n - 1, 32).astype(np.int64))
+        score = self.vectors[some] @ self.vectors.T
+        score[np.arange(len(some)), some] = -np.inf
+        best = score.max(1) / (np.sqrt((self.vectors[some] ** 2).sum(1)) * self.norm)
+        usual = np.median(np.sqrt(np.maximum(2 - 2 * best, 0))) if n > 1 else 0.0
+        return max(0.1, 0.5 * float(usual)) * REACH
+
     def _projected(self) -> np.ndarray:
         squares = (self.vectors**2).sum(1)
         self.norm = math.sqrt(float(squares.max()))
@@ -74,13 +85,14 @@ class Index:
         """The vectors and, of each direction, their order, which is what takes long; projections are made again."""
         short = self.vectors.astype(np.float32)
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, seed=self.seed)
+        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, seed=self.seed, start=self.start)
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> Index:
         self, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
         self.ids, self.vectors, self.order, self.seed = parts["ids"], parts["vectors"].astype(np.float64), parts["order"], int(parts["seed"])
+        self.start = float(parts["start"])
         self._arrange(self._projected())
         return self
 
@@ -102,7 +114,7 @@ class Index:
         base = np.arange(PROJECTIONS) * n
         low = high = np.searchsorted(self.sorted, centre + self.shift) - base
         length = math.sqrt(float((query**2).sum()))
-        width = 0.1 * REACH
+        width = self.start
         while True:
             new_low = np.searchsorted(self.sorted, centre + self.shift - width, "left") - base
             new_high = np.searchsorted(self.sorted, centre + self.shift + width, "right") - base
