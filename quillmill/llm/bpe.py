@@ -33,6 +33,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_CHARS = 1 << 20
 #: Slices longer than this are merged with a heap, one by one.
@@ -632,6 +633,19 @@ def text_groups(texts: list[str | None], most: int = MAX_CHARS) -> list[tuple[in
     return out
 
 
+def column_groups(*columns: pa.Array, most: int = MAX_CHARS):
+    """Ranges of rows of about `most` bytes in all columns, and the texts of each; no more of a batch is held as Python texts at once."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    a, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > a and held + n > most:
+            yield a, i, [c.slice(a, i - a).to_pylist() for c in columns]
+            a, held = i, 0
+        held += n
+    if len(size) > a:
+        yield a, len(size), [c.slice(a).to_pylist() for c in columns]
+
+
 def _sums(voc: Vocabulary, ids: np.ndarray) -> tuple[str, str, int]:
     """SHA-256 of the ids as text and of the decoded bytes, and the number of these; in pieces, so that memory is bounded."""
     told, back, size = hashlib.sha256(), hashlib.sha256(), 0
