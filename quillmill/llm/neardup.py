@@ -10,8 +10,8 @@
 4. Cross round: buckets that still hold members of several classes are compared in full, sketch
    against sketch, in blocks of bounded size; only pairs of different classes are verified. Members of one
    class are never paired with each other, so groups of thousands of copies cost their number of links,
-   not its square. Mixed buckets of more than ``LARGE`` members are first divided by a second band: a pair
-   at 0.8 that shares no other band is missed there, with probability 2e-4; no bucket is capped.
+   not its square. Buckets of all sizes are compared by the same rule, none is capped or divided by
+   other bands: the size only tells into how many blocks a bucket is cut, and every two blocks meet.
 
 Joins on keys that may be shared by many rows (a bucket, a star's centre, a text with many copies, a class)
 are salted (``runtime.salted_join``). All tables between the steps are written to the shared folder and
@@ -41,9 +41,11 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose sketches agree on a smaller share are taken to be below THRESHOLD: more than four standard deviations.
 LEAST_ESTIMATE = 0.66
+#: A mixed bucket is cut into blocks of BLOCK members; one of more than LARGE members into LARGE / BLOCK blocks, or more, so that none holds more than 16 * LARGE.
 BLOCK = 512
-#: Members of a mixed bucket that are compared without dividing it first.
 LARGE = 4096
+#: Pairs of sketches that are compared at once.
+PAIRS = 1 << 15
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,22 +169,42 @@ def _compare(table: pa.Table, edge: np.ndarray, least: float) -> pa.RecordBatch:
     doc, cls, block = (table.column(c).to_numpy() for c in ("doc", "class_id", "block"))
     i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
-    left, right = [], []
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        d, c, s, bl = doc[lo:hi], cls[lo:hi], sketch[lo:hi], block[lo:hi]
+        order = lo + np.argsort(cls[lo:hi], kind="stable")
         crossed = i[lo] != j[lo]
-        for k in range(hi - lo):
-            if crossed and bl[k] != i[lo]:
-                continue
-            other = (bl == j[lo]) if crossed else np.arange(hi - lo) > k
-            other = np.flatnonzero(other & (c != c[k]))
-            near = other[(s[other] == s[k]).mean(1) >= least] if len(other) else other
-            left += [int(d[k])] * len(near)
-            right += d[near].tolist()
-    a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+        one, two = (order[block[order] == side[lo]] for side in (i, j)) if crossed else (order, order)
+        for x, y in _near(cls[one], cls[two], sketch[one].T, sketch[two].T, crossed, least * REGISTERS):
+            left.append(doc[one[x]])
+            right.append(doc[two[y]])
+    a, b = np.concatenate(left), np.concatenate(right)
     return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _near(own: np.ndarray, other: np.ndarray, sketch: np.ndarray, facing: np.ndarray, crossed: bool, least: float):
+    """Places of members of two sides, each sorted by class, that differ in class and agree on `least` registers; each pair once if both sides are one (not crossed)."""
+    sketch, facing, at = np.ascontiguousarray(sketch), np.ascontiguousarray(facing), 0
+    while at < len(own):
+        # A class is met by those after its own; by those before, too, if the sides differ.
+        begin, end = np.searchsorted(other, own[at], "left"), np.searchsorted(other, own[at], "right")
+        run = np.searchsorted(own, own[at], "right") - at
+        spans = [(0, begin), (end, len(other))] if crossed else [(end, len(other))]
+        if run < 64:  # several small classes at once
+            run, spans = min(64, len(own) - at), [(0, len(other))] if crossed else [(end, len(other))]
+        for lo, hi in spans:
+            for y in range(lo, hi, PAIRS >> 6):
+                theirs = slice(y, min(y + (PAIRS >> 6), hi))
+                step = max(1, PAIRS // (theirs.stop - y))
+                for x in range(at, at + run, step):
+                    mine = slice(x, min(x + step, at + run))
+                    agree = np.add.reduce((sketch[:, mine, None] == facing[:, None, theirs]).view(np.uint8), axis=0, dtype=np.uint8)
+                    apart = own[mine, None] != other[theirs] if crossed else own[mine, None] < other[theirs]
+                    p, q = np.nonzero((agree >= least) & apart)
+                    if len(p):
+                        yield x + p, y + q
+        at += run
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex, class_id (the least vertex) of every vertex of links (a, b): least neighbours and pointer jumping, to the fixed point."""
     both = runtime.written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
@@ -213,36 +235,21 @@ def _verified(pairs: DataFrame, need: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _crossing(met: DataFrame, standing: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and whose sketches agree, written."""
+def _crossing(met: DataFrame, sketches: DataFrame, found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket (counts: band, n) and whose sketches agree, written."""
     own: Column = F.coalesce("class_id", "doc")
     placed = met.select("band", F.col("b").alias("doc")).join(found.withColumnRenamed("vertex", "doc"), "doc", "left").select("band", "doc", own.alias("class_id"))
     placed = runtime.written(placed, "placed")
-
-    def mixed_of(rows: DataFrame, name: str) -> DataFrame:
-        sides = rows.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"))
-        return runtime.written(sides.where("lo < hi").select("band", "n"), name)
-
-    mixed = mixed_of(placed, "mixed")
-    small, large = mixed.where(F.col("n") <= LARGE), mixed.where(F.col("n") > LARGE)
-    rows = placed.join(small, "band")  # no bucket of more than LARGE rows
-    used = [placed, mixed]
-    if large.limit(1).count():
-        members = runtime.salted_join(placed, large.select("band"), "band", large).withColumnRenamed("band", "first")
-        divided = members.join(standing.select("doc", F.explode("bands").alias("second")), "doc").where("first <> second")
-        both = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
-        divided = runtime.written(divided.select(both.alias("band"), "doc", "class_id"), "divided")
-        again = mixed_of(divided, "mixed-again")
-        rows = rows.unionByName(runtime.salted_join(divided, again, "band", again))
-        used += [divided, again]
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sides = placed.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"))
+    mixed = runtime.written(sides.where("lo < hi").select("band", "n"), "mixed")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(-(-LARGE // BLOCK))), F.ceil(F.col("n") / (16 * LARGE))).cast("int")
+    rows = runtime.salted_join(placed, mixed, "band", counts).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "class_id").join(sketches, "doc")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "doc")
     crossing = rows.mapInArrow(runtime.shipped("quillmill.llm.neardup:block_batches", least=LEAST_ESTIMATE), "a long, b long").distinct()
     out = runtime.written(crossing, "crossing")
-    runtime.discard(*used)
+    runtime.discard(placed, mixed)
     return out
 
 
@@ -274,12 +281,12 @@ def _text_classes(documents: DataFrame) -> DataFrame:
     agreeing = runtime.shipped("quillmill.llm.neardup:agreeing_batches", least=LEAST_ESTIMATE)
     near = runtime.salted_join(star, side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long")
     near = runtime.written(near, "star")
-    runtime.discard(star, shared)
+    runtime.discard(star)
     links = _verified(near, need, "star-links")
     found = components(links)
-    crossing = _crossing(met, standing, sketches, found)
+    crossing = _crossing(met, sketches, found, shared)
     more = _verified(crossing, need, "cross-links")
-    runtime.discard(near, crossing, need, wanted, met)
+    runtime.discard(near, crossing, need, wanted, met, shared)
     if more.limit(1).count():
         found = components(links.unionByName(more))
     of_text = standing.join(found.withColumnRenamed("vertex", "doc"), "doc", "left").select("text_hash", F.coalesce("class_id", "doc").alias("root"))

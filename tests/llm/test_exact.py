@@ -117,6 +117,35 @@ def test_near_duplicates_with_heavy_keys(spark, salted):
     assert classes_of(spark, rows) == brute_classes(rows)
 
 
+def one_band_pair():
+    """Near copies (Jaccard similarity 0.81) that share one band only, and other texts of that band."""
+    from quillmill.llm import neardup
+
+    def signature(texts):
+        hashes, text, _ = neardup.shingles(texts)
+        return neardup.probminhash(hashes, text, np.ones(len(hashes)), len(texts))
+
+    rnd = random.Random(15900)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(132)]
+    a, b = " ".join(words[:120]), " ".join(words[12:])
+    signed = signature([a, b])
+    keys = neardup.band_keys(signed)
+    (band,) = np.flatnonzero(keys[0] == keys[1])
+    windows = [" ".join(words[i : i + 5]) for i in range(128)]
+    owner = dict(zip(neardup.shingles(windows)[0].tolist(), windows, strict=True))
+    parts = [owner[h] for h in dict.fromkeys(signed[0].reshape(neardup.BANDS, neardup.ROWS)[band].tolist())]
+    tried = [" ".join(f"{p} f{rnd.randrange(10**6)}" for p in rnd.sample(parts, len(parts))) for _ in range(2000)]
+    return a, b, [t for t, k in zip(tried, neardup.band_keys(signature(tried)), strict=True) if k[band] == keys[0][band]][:40]
+
+
+def test_large_buckets_lose_no_pair(spark, salted):
+    a, b, others = one_band_pair()
+    assert len(others) == 40
+    rows = [(1, a), (2, b), *enumerate(others, 10)]
+    got = classes_of(spark, rows)
+    assert got[1] == got[2] == 1 and 10 <= min(got[d] for d, _ in rows[2:])
+
+
 def test_ids_with_several_texts(spark):
     from quillmill.llm import neardup
 
