@@ -4,7 +4,9 @@ Vectors of a block are lifted by one component to a common norm M, queries are s
 the nearest lifted vector has the largest inner product. Each of ``PROJECTIONS`` random directions
 keeps the block's projections sorted. Around a query's own projections, windows of one half-width
 are widened step by step (virtual rehashing: the wider window holds the narrower), and each
-direction in whose window a vector falls counts as a collision. A vector within d of the query
+direction in whose window a vector falls counts as a collision. Each direction is cut by ``MARKS`` marks at equal
+numbers of vectors, and its windows end at the next mark outside, so that they hold all of the width: the vectors
+before each mark are a bitmap, a window is the difference of two, and collisions of 64 vectors are counted at once. A vector within d of the query
 collides in a direction with probability P(|N(0, 1)| < width / d); vectors with enough collisions for
 most of those within width / REACH (90 % of those just there) are verified by their inner product in double precision. A query
 ends when its k-th best verified vector is within width / REACH.
@@ -37,6 +39,8 @@ PROJECTIONS = 128
 #: Windows are REACH times the distance whose vectors they must hold; widths grow by GROWTH.
 REACH = 0.9
 GROWTH = 1.3
+#: Parts of a direction; at most 255.
+MARKS = 128
 BLOCK_ROWS = 1 << 16
 #: Queries of a task at most; and of all tasks' files of queries, the rows read at once.
 QUERY_ROWS, READ_ROWS = 1 << 16, 1 << 12
@@ -45,8 +49,42 @@ SAFETY = 1.28
 SCHEMA = "query_id long, vec_id long, score double, verified long"
 
 
+def bit_counts(rows: np.ndarray) -> list[np.ndarray]:
+    """Of each bit the number of rows that have it, as planes of binary digits, the lowest first (full adders on whole words)."""
+    planes = []
+    while len(rows):
+        carried = []
+        while len(rows) > 1:
+            k = len(rows) // 3
+            if k:
+                a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+                half = a ^ b
+                carried.append((a & b) | (half & c))
+                rows = np.concatenate([half ^ c, rows[3 * k :]])
+            else:
+                carried.append(rows[:1] & rows[1:])
+                rows = rows[:1] ^ rows[1:]
+        planes.append(rows[0])
+        rows = np.concatenate(carried) if carried else rows[:0]
+    return planes
+
+
+def at_least(planes: list[np.ndarray], least: int) -> np.ndarray:
+    """The bits whose number is at least this."""
+    above, equal = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    if least >> len(planes) > 0:
+        return above
+    for k in range(len(planes) - 1, -1, -1):
+        if least >> k & 1:
+            equal &= planes[k]
+        else:
+            above |= equal & planes[k]
+            equal &= ~planes[k]
+    return above | equal
+
+
 class Index:
-    """Sorted projections of one block."""
+    """Projections of one block, in order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 20):
         by_id = np.argsort(ids)
@@ -54,7 +92,9 @@ class Index:
         projected = self._projected()
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.uint16 if len(ids) <= 1 << 16 else np.int32)
         self.start = self._first_width()
-        self._arrange(projected)
+        places = self._places()[:-1]
+        self.values = np.take_along_axis(projected, self.order[:, places].astype(np.int64), 1)
+        self._arrange()
 
     def _first_width(self) -> float:
         """Half the window of the usual distance to a nearest vector, that of the vectors at 32 fixed places."""
@@ -68,34 +108,60 @@ class Index:
 
     def _projected(self) -> np.ndarray:
         squares = (self.vectors**2).sum(1)
-        self.norm = math.sqrt(float(squares.max()))
+        self._direct(squares)
         lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(self.norm**2 - squares, 0))]) / self.norm
-        self.directions = np.random.default_rng(self.seed).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
         return np.ascontiguousarray((lifted @ self.directions).T)
 
-    def _arrange(self, projected: np.ndarray) -> None:
-        # One ascending array: direction j's projections, moved by j times more than they can span.
-        self.span = 4 * float(np.abs(self.directions).sum(0).max())
-        self.shift = np.arange(PROJECTIONS) * self.span
-        self.sorted = (np.take_along_axis(projected, self.order.astype(np.int64), 1) + self.shift[:, None]).ravel()
+    def _direct(self, squares: np.ndarray) -> None:
+        self.norm = math.sqrt(float(squares.max()))
+        self.directions = np.random.default_rng(self.seed).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
+
+    def _places(self) -> np.ndarray:
+        """Of each mark the number of vectors before it."""
+        marks = min(MARKS, len(self.ids))
+        return np.arange(marks + 1) * len(self.ids) // marks
+
+    def _arrange(self) -> None:
+        """before[j, c]: bitmap of the vectors before mark c in direction j."""
+        n, places = len(self.ids), self._places()
+        part = np.repeat(np.arange(len(places) - 1, dtype=np.uint8), np.diff(places))
+        marks = np.arange(len(places), dtype=np.uint8)[:, None]
+        self.before = np.zeros((PROJECTIONS, len(places), -(-n // 64) * 8), dtype=np.uint8)
+        of = np.empty(n, dtype=np.uint8)
+        for order, bits in zip(self.order, self.before, strict=True):
+            of[order] = part
+            bits[:, : -(-n // 8)] = np.packbits(of < marks, axis=1, bitorder="little")
+        self.before = self.before.view(np.uint64)
         inside = math.erf(REACH / math.sqrt(2))
         self.enough = math.floor(PROJECTIONS * inside - SAFETY * math.sqrt(PROJECTIONS * inside * (1 - inside)))
 
     def dump(self) -> bytes:
-        """The vectors and, of each direction, their order, which is what takes long; projections are made again."""
+        """The vectors and, of each direction, their order and the projections at the marks; bitmaps are made again."""
         short = self.vectors.astype(np.float32)
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, seed=self.seed, start=self.start)
+        np.savez(out, ids=self.ids, vectors=short if np.array_equal(short, self.vectors) else self.vectors, order=self.order, values=self.values, seed=self.seed, start=self.start)
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> Index:
         self, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
         self.ids, self.vectors, self.order, self.seed = parts["ids"], parts["vectors"].astype(np.float64), parts["order"], int(parts["seed"])
-        self.start = float(parts["start"])
-        self._arrange(self._projected())
+        self.start, self.values = float(parts["start"]), parts["values"]
+        self._direct((self.vectors**2).sum(1))
+        self._arrange()
         return self
 
+    def window(self, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each direction the last mark before the window and the first behind it."""
+        low = (self.values < (centre - width)[:, None]).sum(1) - 1
+        return np.maximum(low, 0), (self.values <= (centre + width)[:, None]).sum(1)
+
+    def colliding(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The vectors with enough collisions, as flags."""
+        each = np.arange(PROJECTIONS)
+        often = at_least(bit_counts(self.before[each, high] ^ self.before[each, low]), self.enough)
+        return np.unpackbits(often.view(np.uint8), bitorder="little", count=len(self.ids)).view(bool)
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k nearest found, and the number of vectors verified."""
         n = len(self.ids)
@@ -106,26 +172,16 @@ class Index:
             return self.ids[:0], np.zeros(0), 0
         unit = np.append(query / math.sqrt(float((query**2).sum())), 0.0)
         centre = unit @ self.directions
-        count = np.zeros(n, dtype=np.int16)
         known = np.zeros(n, dtype=bool)
         if has_own:
             known[own] = True
         rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        base = np.arange(PROJECTIONS) * n
-        low = high = np.searchsorted(self.sorted, centre + self.shift) - base
         length = math.sqrt(float((query**2).sum()))
         width = self.start
         while True:
-            new_low = np.searchsorted(self.sorted, centre + self.shift - width, "left") - base
-            new_high = np.searchsorted(self.sorted, centre + self.shift + width, "right") - base
-            new_low, new_high = np.maximum(new_low, 0), np.minimum(new_high, n)
-            rings = [o[a:b] for o, a, b in zip(self.order, new_low.tolist(), low.tolist(), strict=True) if b > a]
-            rings += [o[a:b] for o, a, b in zip(self.order, high.tolist(), new_high.tolist(), strict=True) if b > a]
-            if rings:
-                count += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
-            low, high = new_low, new_high
-            whole = bool((low == 0).all() and (high == n).all())
-            fresh = np.flatnonzero((count >= self.enough) & ~known) if not whole else np.flatnonzero(~known)
+            low, high = self.window(centre, width)
+            whole = bool((low == 0).all() and (high == self.values.shape[1]).all())
+            fresh = np.flatnonzero(~known if whole else self.colliding(low, high) & ~known)
             if len(fresh):
                 known[fresh] = True
                 rows = np.concatenate([rows, fresh])

@@ -1,5 +1,7 @@
 """The llm operators where a shortcut would lose rows, links or text."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,3 +54,36 @@ def test_recall_on_random_unit_vectors():
         score[q] = -9
         hits += len(set(index.search(q, x[q], 20)[0].tolist()) & set(np.argpartition(-score, 20)[:20].tolist()))
     assert hits >= 0.95 * 2000
+
+
+def test_search_costs_about_one_count_of_its_last_windows():
+    """Every vector in all windows of the width that a search ends with is a collision; counting them one by one is what took the time."""
+    n, x = 50000, np.random.default_rng(5).standard_normal((50000, 64))
+    index = ann.Index(np.arange(n), x)
+    lifted = np.column_stack([x, np.sqrt(np.maximum(index.norm**2 - (x**2).sum(1), 0))]) / index.norm
+    projected = np.ascontiguousarray((lifted @ index.directions).T)
+    ascending = np.take_along_axis(projected, index.order.astype(np.int64), 1)
+    took = plain = 0.0
+    for q in range(0, n, 2500):
+        began = time.process_time()
+        _, scores, _ = index.search(q, x[q], 20)
+        took += time.process_time() - began
+        length = float(np.sqrt((x[q] ** 2).sum()))
+        width = ann.REACH * float(np.sqrt(2 - 2 * scores[-1] / (length * index.norm)))
+        centre = np.append(x[q] / length, 0.0) @ index.directions
+        began = time.process_time()
+        low, high = ([int(np.searchsorted(a, c + w)) for a, c in zip(ascending, centre, strict=True)] for w in (-width, width))
+        count = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(index.order, low, high, strict=True)]), minlength=n)
+        plain += time.process_time() - began
+        if hasattr(index, "colliding"):  # no vector with enough collisions is left out
+            assert index.colliding(*index.window(centre, width))[count >= index.enough].all()
+    assert took < 1.25 * plain
+
+
+def test_counts_of_bits():
+    rng = np.random.default_rng(6)
+    for m, n in ((1, 64), (2, 64), (3, 128), (7, 64), (128, 640)):
+        bits = rng.random((m, n)) < rng.random(n)
+        planes = ann.bit_counts(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+        for least in range(m + 2):
+            assert np.array_equal(np.unpackbits(ann.at_least(planes, least).view(np.uint8), bitorder="little").view(bool), bits.sum(0) >= least)
