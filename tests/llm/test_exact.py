@@ -146,6 +146,16 @@ def test_large_buckets_lose_no_pair(spark, salted):
     assert got[1] == got[2] == 1 and 10 <= min(got[d] for d, _ in rows[2:])
 
 
+def test_pipeline_keeps_one_of_a_pair_of_a_large_bucket(spark, salted):
+    import corpus_pipeline
+
+    a, b, others = one_band_pair()
+    rows = [(1, a), (2, b), *enumerate(others, 10)]
+    left = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = {r.doc_id for r in left}
+    assert len(left) == len(kept) and 1 in kept and 2 not in kept
+
+
 def test_ids_with_several_texts(spark):
     from quillmill.llm import neardup
 
