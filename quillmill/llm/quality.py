@@ -6,16 +6,23 @@ covariance and a multiple of the identity; the score is the logistic function of
 Mahalanobis log-densities and log-priors. The inverse Cholesky factor of each class is computed once
 and travels with the model.
 
-The fit uses a bounded sample of labelled rows (``labelled.SAMPLE_ROWS``, 20,000). Only the text is
-an input of a score.
+The fit uses every labelled document of the training folds, whatever their number: a class is told by its count
+and by the sums and the sums of products of its statistics. These are sums of integers (statistics in units of
+2 ** -BITS), so that the model doesn't depend on the order of rows; nothing else reaches the driver. A score
+depends on the text and the model alone, to the last bit, and not on the texts that are scored beside it.
+Only the text is an input of a score.
 
 Defined cases: null and empty texts have the statistics of no words and are scored like any text;
-without labels of both classes every score is the share of label 1 (0.5 without any label); repeated
-rows are scored row by row and weigh once per doc_id in the fit; other columns are ignored.
+without labels of both classes every score is the share of label 1 (0.5 without any label); labels other
+than 0 and 1, and labels without a document, don't count; repeated rows are scored row by row and weigh
+once per doc_id in the fit; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +33,8 @@ from . import bpe, labelled, rules, runtime, words
 SCORED = "doc_id long, score double"
 #: Words (letters, lines) of usual text that each ratio is mixed with.
 STRENGTH = 10.0
+#: Statistics are rounded to units of 2 ** -BITS. Below 64 in size (logarithms of ratios of counts), SUMMED of them have products whose sum fits a long.
+BITS, SUMMED = 20, 1024
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-"]] = True
 _DIGIT = np.zeros(256, dtype=bool)
@@ -33,7 +42,7 @@ _DIGIT[list(b"0123456789")] = True
 
 
 def statistics(texts: list[str | None]) -> np.ndarray:
-    """One row of transformed statistics for each text."""
+    """One row of transformed statistics for each text, in whole multiples of 2 ** -BITS."""
     m = rules.measure(texts)
     w = words.Words(texts)
     n = m["n_words"].astype(float)
@@ -56,7 +65,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         """Log of a ratio, drawn to its usual value in short texts, which tell little."""
         return np.log((a + STRENGTH * usual) / (b + STRENGTH) + 1e-3)
 
-    return np.column_stack([
+    x = np.column_stack([
         share(m["n_upper"], m["n_letters"], 0.04),
         share(m["n_symbols"], n, 0.0),
         share(inside(_PUNCT[w.data]), n, 0.0),
@@ -67,42 +76,89 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         share(m["word_chars"], n, 5.0),
         share(inside(_DIGIT[w.data]), m["word_chars"], 0.0),
     ])
+    return np.rint(x * (1 << BITS)) / (1 << BITS)
 
 
 class Discriminant:
     """Two Gaussians with shrunk covariances."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pooled: float = 0.1, ridge: float = 0.02):
-        n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+        own = [x[y == k] for k in (0, 1)]
+        self._shrink([(len(r), r.mean(0), np.atleast_2d(np.cov(r.T, bias=True))) if len(r) else (0, None, None) for r in own], pooled, ridge)
+
+    @classmethod
+    def of_sums(cls, totals: list[np.ndarray], pooled: float = 0.1, ridge: float = 0.02) -> Discriminant:
+        """From the ``sums`` of class 0 and of class 1; means and covariances are exact before they are rounded."""
+        model, moments = cls.__new__(cls), []
+        for t in totals:
+            n, unit = int(t[0, 0]), 1 << BITS
+            spread = n * t[1:, 1:] - np.outer(t[0, 1:], t[0, 1:])
+            mean, cov = ([float(Fraction(int(v), d)) for v in a.ravel()] if n else None for a, d in ((t[0, 1:], n * unit), (spread, (n * unit) ** 2)))
+            moments.append((n, np.array(mean), np.array(cov).reshape(len(mean), -1)) if n else (0, None, None))
+        model._shrink(moments, pooled, ridge)
+        return model
+
+    def _shrink(self, moments: list[tuple], pooled: float, ridge: float) -> None:
+        """moments: of each class its count, mean and covariance."""
+        (n0, mean0, cov0), (n1, mean1, cov1) = moments
         self.constant = None
-        if min(n0, n1) < 2:
+        if min(n0, n1) == 0:
             self.constant = n1 / (n0 + n1) if n0 + n1 else 0.5
             return
-        self.centre, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = (x - self.centre) / self.scale
-        own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
-        both = (n0 * own[0] + n1 * own[1]) / (n0 + n1)
+        share = n1 / (n0 + n1)
+        self.centre = (1 - share) * mean0 + share * mean1
+        within = (1 - share) * np.diag(cov0) + share * np.diag(cov1)
+        self.scale = np.sqrt(within + share * (1 - share) * (mean1 - mean0) ** 2) + 1e-9
+        own = [c / np.outer(self.scale, self.scale) for c in (cov0, cov1)]
+        both = (1 - share) * own[0] + share * own[1]
         self.parts = []
-        for k, n in ((0, n0), (1, n1)):
+        for k, (n, mean, _) in enumerate(moments):
             c = (1 - pooled) * own[k] + pooled * both
             c = (1 - ridge) * c + ridge * np.trace(c) / len(c) * np.eye(len(c)) + 1e-6 * np.eye(len(c))
             lower = np.linalg.cholesky(c)
-            self.parts.append((z[y == k].mean(0), np.linalg.inv(lower), 2 * np.log(np.diag(lower)).sum(), np.log(n)))
+            self.parts.append(((mean - self.centre) / self.scale, np.linalg.inv(lower), 2 * np.log(np.diag(lower)).sum(), np.log(n)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Products are summed in one order, statistic after statistic: a product of matrices would round by the number of rows."""
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        z = (x - self.centre) / self.scale
-        density = [prior - 0.5 * (((z - mean) @ inverse.T) ** 2).sum(1) - 0.5 * volume for mean, inverse, volume, prior in self.parts]
+        z = np.ascontiguousarray(((x - self.centre) / self.scale).T)
+        density = []
+        for mean, inverse, volume, prior in self.parts:
+            apart, distance = z - mean[:, None], np.zeros(len(x))
+            for i in range(len(inverse)):
+                distance += sum(inverse[i, j] * apart[j] for j in range(i + 1)) ** 2  # inverse is lower triangular
+            density.append(prior - 0.5 * distance - 0.5 * volume)
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
 
 
+def sums(x: np.ndarray) -> np.ndarray:
+    """Count, sums, and sums of products of rows of statistics, in units of 2 ** -BITS, as one matrix of Python integers."""
+    rows = np.column_stack([np.ones(len(x), dtype=np.int64), np.rint(x * (1 << BITS)).astype(np.int64)])
+    out = np.zeros((rows.shape[1], rows.shape[1]), dtype=object)
+    for lo in range(0, len(rows), SUMMED):
+        some = rows[lo : lo + SUMMED]
+        out += (some.T @ some).astype(object)
+    return out
+
+
 def statistics_batches(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in bpe.text_groups(texts):
             x = statistics(texts[a:b])
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
+def sum_batches(batches):
+    """Rows (label, x) to label, place, total: the entries of the ``sums`` of each label, for each batch."""
+    for batch in batches:
+        label = batch.column("label").to_numpy()
+        x = batch.column("x").flatten().to_numpy().reshape(len(label), -1 if len(label) else 0)
+        for k in np.unique(label).tolist():
+            entries = sums(x[label == k]).ravel().tolist()
+            total = pa.array([Decimal(v) for v in entries], pa.decimal128(38, 0))
+            yield pa.record_batch([pa.array([k] * len(entries), pa.int32()), pa.array(range(len(entries)), pa.int32()), total], names=["label", "place", "total"])
 
 
 def score_batches(batches, model: Discriminant):
@@ -113,11 +169,17 @@ def score_batches(batches, model: Discriminant):
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1) -> Discriminant:
-    chosen = labelled.sample(documents, labels, label, modulus, held)
-    measured = chosen.mapInArrow(runtime.shipped("quillmill.llm.quality:statistics_batches"), "doc_id long, label int, x array<double>")
-    rows = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id", "label").toArrow()  # bounded by the sample
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, -1 if rows.num_rows else 0)
-    return Discriminant(x, rows.column("label").to_numpy())
+    """The training folds are measured in place; statistics, not texts, are shuffled to their labels."""
+    told = labelled.training(labels, label, modulus, held).where("label in (0, 1)").distinct()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (labelled.fold(modulus) != held))
+    measured = rows.mapInArrow(runtime.shipped("quillmill.llm.quality:statistics_batches"), "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
+    entries = measured.join(told, "doc_id").select("label", "x").mapInArrow(runtime.shipped("quillmill.llm.quality:sum_batches"), "label int, place int, total decimal(38,0)")
+    found = entries.groupBy("label", "place").agg(F.sum("total").alias("total")).collect()  # one row an entry of a matrix
+    side = statistics([]).shape[1] + 1
+    totals = [np.zeros((side, side), dtype=object) for _ in range(2)]
+    for r in found:
+        totals[r.label].flat[r.place] = int(r.total)
+    return Discriminant.of_sums(totals)
 
 
 def score(documents: DataFrame, model: Discriminant) -> DataFrame:

@@ -348,6 +348,65 @@ def test_shrinkage_of_a_singular_class():
     assert np.isfinite(score).all() and (score[:25] > 0.5).all() and (score[25:] < 0.5).mean() > 0.8
 
 
+GOOD, BAD = "some words of a quiet text about the sea and the boats in it", "WIN WIN WIN $$$ NOW NOW !!! 777 *** WIN WIN ### BUY BUY"
+
+
+def test_pipeline_quality_learns_from_all_labels(spark, tmp_path):
+    """More training rows than the sample had at most; those it left out are the only ones of label 0."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from quillmill.llm import labelled
+
+    ids = spark.range(1, 32_001).withColumnRenamed("id", "doc_id").where(labelled.fold(3) != 1).orderBy(F.xxhash64("doc_id")).toPandas().doc_id.tolist()
+    assert len(ids) > labelled.SAMPLE_ROWS
+    rows = [(d, f"{GOOD} {d % 97}" if i < labelled.SAMPLE_ROWS else f"{BAD} {d % 97}", int(i < labelled.SAMPLE_ROWS)) for i, d in enumerate(ids)]
+    spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    documents = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, documents, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {d for d, _, y in rows if y}
+
+
+def test_pipeline_quality_is_not_changed_by_labels_without_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    documents = spark.createDataFrame([(d, f"{BAD if d % 4 == 0 else GOOD} {d % 7}") for d in range(60)], "doc_id long, text string")
+    labels = documents.selectExpr("doc_id", "cast(doc_id % 4 <> 0 as int) quality")
+    labels.unionByName(spark.range(10**6, 2 * 10**6).selectExpr("id doc_id", "1 quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, documents, str(tmp_path)).collect()}
+    assert kept == {d for d in range(60) if d % 4}
+
+
+def test_quality_scores_to_the_last_bit(spark):
+    """The model doesn't depend on the order or the partitions of rows, nor a score on the texts beside it."""
+    from quillmill.llm import quality
+
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").where("doc_id % 8 = 0") for t in ("documents", "labels"))
+    one, two = (quality.fit(d, labels) for d in (documents.coalesce(1), documents.repartition(7)))
+    x = quality.statistics([r.text for r in documents.select("text").collect()])
+    whole = one.score(x)
+    assert (two.score(x) == whole).all()
+    assert (np.concatenate([one.score(x[i : i + 1]) for i in range(len(x))]) == whole).all()
+
+
+def test_quality_sums_are_those_of_all_rows():
+    from quillmill.llm import quality
+
+    x = np.round(np.random.default_rng(7).standard_normal((3000, 4)) * 3 * 2**20) / 2**20
+    y = np.random.default_rng(8).integers(0, 2, 3000)
+    by_sums = quality.Discriminant.of_sums([quality.sums(x[y == k][:500]) + quality.sums(x[y == k][500:]) for k in (0, 1)])
+    assert np.allclose(by_sums.score(x), quality.Discriminant(x, y).score(x), rtol=1e-9)
+
+
+def test_quality_with_one_label_of_a_class():
+    from quillmill.llm import quality
+
+    x = np.random.default_rng(9).standard_normal((30, 3)) * 0.1
+    x[0] += 5
+    score = quality.Discriminant(x, np.arange(30) > 0).score(x)
+    assert score[0] < 0.5 and (score[1:] > 0.5).all()
+
+
 def greedy(lengths, size, linear, quadratic):
     """Whole pieces in descending length, each to the cheapest sequence with room; as many sequences as the tokens fill."""
     cost = lambda n: linear * n + quadratic * n * n
