@@ -1,4 +1,4 @@
-"""Cleaning and measuring of text as column expressions; two Arrow functions where Spark has none."""
+"""Cleaning and measuring of text as column expressions; two Python functions where Spark has none."""
 
 from __future__ import annotations
 
@@ -35,11 +35,20 @@ class CleanOptions:
     lowercase: bool = False
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.udf(StringType(), useArrow=False)
+def _nfkc(t: str | None) -> str | None:
+    return None if t is None else unicodedata.normalize("NFKC", t)
+
+
+def _in_python(use, c: Column, source: Column | None) -> Column:
+    """use(c), null where `source` (c, or what c is made from) is ASCII: no text of ASCII alone is sent to Python, and 100 rows at a time (an Arrow batch has 10,000)."""
+    source = c if source is None else source
+    return use(F.when(F.octet_length(source) > F.length(source), c))
+
+
+def nfkc(c: Column, source: Column | None = None) -> Column:
     """NFKC; texts of ASCII alone are passed on as they are."""
-    for s in batches:
-        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return F.coalesce(_in_python(_nfkc, c, source), c)
 
 
 @F.pandas_udf(StringType())
@@ -90,9 +99,9 @@ def where_it_holds(c: Column, *marks: str):
 
 def scrub(c: Column, o: CleanOptions = CleanOptions()) -> Column:
     """The replacement steps, in their fixed order."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", "")
+    raw, c = c, F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", "")
     if o.nfkc:
-        c = nfkc(c)
+        c = nfkc(c, raw)
     if o.latex:
         c = where_it_holds(c, "\\")(lambda x: F.regexp_replace(F.regexp_replace(x, r"\\cite\w*\{[^}]*\}", "[REF]"), r"\\(ref|label|eqref)\{[^}]*\}", ""))
         c = where_it_holds(c, "$")(lambda x: F.regexp_replace(x, r"\$+[^$]*\$+", " [MATH] "))
