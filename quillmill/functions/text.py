@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -40,6 +38,11 @@ def _nfkc(t: str | None) -> str | None:
     return None if t is None else unicodedata.normalize("NFKC", t)
 
 
+@F.udf(StringType(), useArrow=False)
+def _casefolded(t: str | None) -> str | None:
+    return None if t is None else t.casefold()
+
+
 def _in_python(use, c: Column, source: Column | None) -> Column:
     """use(c), null where `source` (c, or what c is made from) is ASCII: no text of ASCII alone is sent to Python, and 100 rows at a time (an Arrow batch has 10,000)."""
     source = c if source is None else source
@@ -51,11 +54,9 @@ def nfkc(c: Column, source: Column | None = None) -> Column:
     return F.coalesce(_in_python(_nfkc, c, source), c)
 
 
-@F.pandas_udf(StringType())
-def casefolded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Full case folding, which Spark's lower() is not."""
-    for s in batches:
-        yield s.map(lambda t: None if t is None else t.casefold())
+def casefolded(c: Column, source: Column | None = None) -> Column:
+    """Full case folding, which Spark's lower() is not, but for ASCII."""
+    return F.coalesce(_in_python(_casefolded, c, source), F.lower(c))
 
 
 def fresh(df, *names: str) -> list[str]:
@@ -176,7 +177,7 @@ def chunks(c: Column, size: int, overlap: int = 0, least: int = 1) -> Column:
 
 def normalized(c: Column) -> Column:
     """White space runs to one space, stripped, case folded."""
-    return casefolded(F.btrim(F.regexp_replace(c, f"[{WS}]+", " ")))
+    return casefolded(F.btrim(F.regexp_replace(c, f"[{WS}]+", " ")), c)
 
 
 def fingerprint(c: Column) -> Column:
