@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 
 #: Queries whose Python workers get a partition of TEXTS texts of 60 KB.
-NAMES, TEXTS, MOST_MB = ("token_rollup", "pack_blocks", "coverage_cursor", "cross_split_duplicates"), 1500, 150
+NAMES, TEXTS, MOST_MB = ("token_rollup", "pack_blocks", "coverage_cursor", "cross_split_duplicates", "audit_summary"), 1500, 150
 
 PEAKS = """
 import json, sys
